@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe, token_files
+from lacuna.llm import bpe, language, mixing, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,13 +20,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = mixing.weighed(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return mixing.plan(weighed).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_mix": op4_mix,
     "op7_token_files": op7_token_files,
+    "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mix": mixing.ORACLE}
