@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, language, mixing, token_files
+from lacuna.llm import bpe, cells, language, mixing, pivots, token_files, wrapper
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -29,15 +34,26 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op8_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.grouped(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extracted(_read(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pivots": op2_pivots,
     "op3_bpe": op3_bpe,
     "op4_mix": op4_mix,
     "op7_token_files": op7_token_files,
+    "op8_cells": op8_cells,
+    "op9_wrapper": op9_wrapper,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mix": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_pivots": pivots.ORACLE, "op4_mix": mixing.ORACLE, "op8_cells": cells.ORACLE}
