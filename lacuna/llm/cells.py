@@ -122,7 +122,7 @@ def grouped(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", meets).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
-    def compare(key, found: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         cell, i, j = key[1], key[2], key[3]
         left = found[found["mine"] == i]
         right = found[found["mine"] == j]

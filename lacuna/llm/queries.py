@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, cells, language, mixing, pivots, token_files, wrapper
+from lacuna.llm import bpe, cells, language, mixing, partenum, pivots, suffixes, token_files, wrapper
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,6 +30,15 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(weighed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.joined(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_removed(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
@@ -50,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivots": op2_pivots,
     "op3_bpe": op3_bpe,
     "op4_mix": op4_mix,
+    "op5_partenum": op5_partenum,
+    "op6_suffixes": op6_suffixes,
     "op7_token_files": op7_token_files,
     "op8_cells": op8_cells,
     "op9_wrapper": op9_wrapper,
