@@ -4,6 +4,7 @@ Vectors x become floor(64 * x). For pivots p the distance of a query q and a can
 is at least max |d(q, p) - d(x, p)|, so their inner product (|q|^2 + |x|^2 - d^2) / 2 has
 an upper bound that costs no look at x. In each block of candidates a query evaluates
 them from the largest bound down and stops where the bound falls below its k-th score.
+Where the bounds leave most of a block, its rest is evaluated by one matrix product.
 Queries and candidates meet as packed blocks of fixed size, never row by row.
 
 Cases: null vectors, vectors with null or non-finite components and null ids take no
@@ -27,6 +28,8 @@ from lacuna.llm.common import partitions, staged
 
 #: Scale of the components; pivots; vectors they are chosen from; rows of a query and of a candidate block.
 SCALE, PIVOTS, FROM, QUERIES, CANDIDATES, STEP = 64, 16, 2048, 1024, 4096, 256
+#: Queries handled at once; share of candidates within their bounds from which a block is evaluated as a whole.
+TILE, DENSE = 64, 0.2
 BLOCK = "dim int, block long, n int, ids binary, vectors binary, far binary"
 
 
@@ -99,31 +102,63 @@ class Best:
     """The k best candidates so far of each query of a block."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int):
-        self.ids, self.x, self.far, self.k = ids, x, far, k
+        self.ids, self.x, self.far, self.k = ids, x, far.astype(np.float32), k
         self.norm = (x**2).sum(1)
-        self.score = [np.zeros(0)] * len(ids)
-        self.found = [np.zeros(0, np.int64)] * len(ids)
+        self.score = np.full((len(ids), k), -np.inf)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.looked = 0
 
+    def bounds(self, some: slice, ids: np.ndarray, norm: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Upper bounds of the inner products of some queries with all candidates of a block."""
+        gap = np.zeros((len(self.ids[some]), len(ids)), np.float32)
+        for p in range(far.shape[1]):
+            np.maximum(gap, np.abs(far[:, p] - self.far[some, p, None]), out=gap)
+        both = self.norm[some, None] + norm
+        bound = (both - gap.astype(np.float64) ** 2) / 2 + 2e-6 * both + 1e-3  # and what rounding of the distances may hide
+        bound[ids == self.ids[some, None]] = -np.inf
+        return bound
+
+    def take(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Adds candidates, given as equally long arrays."""
+        mine = np.unique(q)
+        q = np.concatenate([q, np.repeat(mine, self.k)])
+        ids, score = np.concatenate([ids, self.found[mine].ravel()]), np.concatenate([score, self.score[mine].ravel()])
+        order = np.lexsort((ids, -score, q))
+        first = np.searchsorted(q[order], mine)
+        best = order[first[:, None] + np.arange(self.k)]
+        self.found[mine], self.score[mine] = ids[best], score[best]
+
     def meet(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
-        norm, k = (x**2).sum(1), self.k
-        for q in range(len(self.ids)):
-            gap = np.abs(far - self.far[q]).max(1) if far.shape[1] else np.zeros(len(ids))
-            bound = (self.norm[q] + norm - gap**2) / 2
-            bound += 1e-9 * (self.norm[q] + norm) + 1e-3  # rounding of the distances
-            bound[ids == self.ids[q]] = -np.inf
-            kth = self.score[q][k - 1] if len(self.score[q]) >= k else -np.inf
-            worth = np.flatnonzero((bound >= kth) & (bound > -np.inf))
-            order = worth[np.argsort(-bound[worth], kind="stable")]
-            for lo in range(0, len(order), STEP):
-                if len(self.score[q]) >= k and bound[order[lo]] < self.score[q][k - 1]:
-                    break
-                at = order[lo : lo + STEP]
-                self.looked += len(at)
-                score = np.concatenate([self.score[q], x[at] @ self.x[q]])
-                found = np.concatenate([self.found[q], ids[at]])
-                best = np.lexsort((found, -score))[:k]
-                self.score[q], self.found[q] = score[best], found[best]
+        norm, far = (x**2).sum(1), far.astype(np.float32)
+        for lo in range(0, len(self.ids), TILE):
+            some = slice(lo, min(lo + TILE, len(self.ids)))
+            bound = self.bounds(some, ids, norm, far)
+            if np.isinf(self.score[some, -1]).any() and len(ids) > STEP:  # no k-th score yet: the most promising first
+                at = np.argpartition(-bound, STEP, axis=1)[:, :STEP]
+                self.look(lo, at, bound, ids, x)
+                np.put_along_axis(bound, at, -np.inf, axis=1)
+            worth = (bound >= self.score[some, -1:]) & (bound > -np.inf)
+            if worth.mean() > DENSE:  # nearly all have to be looked at: one matrix product
+                score = self.x[some] @ x.T
+                self.looked += int(worth.sum())
+                q, c = np.nonzero(worth & (score >= self.score[some, -1:]))
+                self.take(q + lo, ids[c], score[q, c])
+                continue
+            for q in np.flatnonzero(worth.any(1)).tolist():
+                order = np.flatnonzero(worth[q])
+                order = order[np.argsort(-bound[q, order], kind="stable")]
+                for at in range(0, len(order), STEP):
+                    if bound[q, order[at]] < self.score[lo + q, -1]:
+                        break  # no candidate left can be among the k best
+                    self.look(lo + q, order[None, at : at + STEP], bound[q : q + 1], ids, x)
+
+    def look(self, lo: int, at: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Scores of the candidates at[i] of query lo + i."""
+        score = np.einsum("ncd,nd->nc", x[at], self.x[lo : lo + len(at)])
+        ok = (np.take_along_axis(bound, at, axis=1) > -np.inf) & (score >= self.score[lo : lo + len(at), -1:])
+        self.looked += at.size
+        q, c = np.nonzero(ok)
+        self.take(q + lo, ids[at[q, c]], score[q, c])
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -151,11 +186,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", emb
                 other = np.frombuffer(ids, np.int64)
                 best[block].meet(other, np.frombuffer(x).reshape(len(other), dim), np.frombuffer(far).reshape(len(other), -1))
         for b in best.values():
-            if any(len(x) for x in b.found):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(b.ids, [len(x) for x in b.found])), pa.array(np.concatenate(b.found)), pa.array(np.concatenate(b.score).astype(np.int64))],
-                    ["query_id", "vec_id", "score"],
-                )
+            q, r = np.nonzero(b.score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(b.found[q, r]), pa.array(b.score[q, r].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
