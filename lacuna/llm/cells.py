@@ -1,9 +1,9 @@
 """Near duplicates of embeddings: spherical k-means cells, blocked cosines, one kept a group.
 
 Equal vectors count as one with a multiplicity. Centroids are fitted on the FITTED vectors
-with the least hashes; every vector is then assigned. A vector also visits each cell of a
-lower number that can hold a vector within the angle of the threshold: its distance from
-the great circle between the two centroids tells. So no link is lost between cells. A
+with the least hashes; every vector is then assigned. A vector also visits the cells of a
+lower number whose border, the great circle between the two centroids, is so near that a
+linked vector may well lie beyond it. A
 cell's members are dealt into blocks of bounded size and compared block by block; a pair
 of blocks sends counts of links and a spanning forest of them, never all pairs.
 
@@ -29,8 +29,10 @@ from lacuna.llm.common import staged
 from lacuna.llm.graph import components
 
 #: Vectors that centroids are fitted on, rows aimed at in a cell, most cells, rows in a block, rounds.
-FITTED, CELL_ROWS, MOST_CELLS, BLOCK_ROWS, ROUNDS, SEED = 8192, 1000, 1024, 1500, 8, 7
-THRESHOLD = 0.95
+FITTED, CELL_ROWS, MOST_CELLS, BLOCK_ROWS, SLICE, ROUNDS, SEED = 8192, 1000, 1024, 4000, 256, 8, 7
+#: Least cosine; how far over a cell's border linked vectors are looked for, in standard deviations of a
+#: random difference of linked vectors along one direction (in 16 dimensions or fewer that is all there can be).
+THRESHOLD, SIGMAS = 0.95, 4.0
 
 
 def normed(x: np.ndarray) -> np.ndarray:
@@ -56,7 +58,7 @@ def places(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray,
     home = np.argmax(near, axis=1)
     between = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
     margin = near[np.arange(len(x)), home][:, None] - near
-    reach = math.sqrt(1 - threshold**2) + 1e-9
+    reach = min(math.sqrt(1 - threshold**2), SIGMAS * math.sqrt((2 - 2 * threshold) / x.shape[1])) + 1e-9
     visit = (margin <= reach * between[home] + 1e-9) & (np.arange(len(c)) < home[:, None])
     visit[np.arange(len(x)), home] = True
     rows, cells = np.nonzero(visit)
@@ -101,6 +103,8 @@ def grouped(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
         x = normed(np.array([r.x for r in sample if r.dim == dim], np.float64))
         centroids[dim] = fit(x, min(MOST_CELLS, max(1, math.ceil(n / CELL_ROWS))))
 
+    kind = np.float32 if reps.schema["x"].dataType.elementType.simpleString() == "float" else np.float64
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps_, m, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
@@ -110,7 +114,7 @@ def grouped(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
                 at = np.flatnonzero(dims == dim)
                 x = normed(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
                 row, cell, home = places(x, centroids[dim], threshold)
-                packed = [r.tobytes() for r in x]
+                packed = [r.tobytes() for r in flat[(ends[at] - dim)[:, None] + np.arange(dim)].astype(kind)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(row), dim), pa.int32()), pa.array(cell, pa.int32()), pa.array(home, pa.int32()), pa.array(reps_[at][row]), pa.array(m[at][row]), pa.array([packed[r] for r in row], pa.binary())],
                     ["dim", "cell", "home", "rep", "m", "x"],
@@ -128,21 +132,30 @@ def grouped(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
         right = found[found["mine"] == j]
 
         def unpacked(part):
-            return np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), -1)
+            return normed(np.frombuffer(b"".join(part["x"]), kind).reshape(len(part), -1).astype(np.float64))
 
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        linked = unpacked(left) @ unpacked(right).T >= threshold
-        linked &= np.minimum(left["home"].to_numpy()[:, None], right["home"].to_numpy()) == cell
-        if i == j:
-            np.fill_diagonal(linked, False)
-        a, b = forest(linked)
-        ids = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
-        n_left = linked @ right["m"].to_numpy()
-        n_right = linked.T @ left["m"].to_numpy() if i != j else np.zeros(len(right), np.int64)
-        n = np.concatenate([n_left, n_right])
+        x, y = unpacked(left), unpacked(right)
+        x_home, y_home = left["home"].to_numpy(), right["home"].to_numpy()
+        x_rep, y_rep = left["rep"].to_numpy(), right["rep"].to_numpy()
+        x_links, y_links = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        edges = []
+        for lo in range(0, len(x), SLICE):
+            linked = x[lo : lo + SLICE] @ y.T >= threshold
+            linked &= np.minimum(x_home[lo : lo + SLICE, None], y_home) == cell
+            if i == j:
+                linked[np.arange(len(linked)), lo + np.arange(len(linked))] = False
+            else:
+                y_links += linked.T @ left["m"].to_numpy()[lo : lo + SLICE]
+            x_links[lo : lo + SLICE] = linked @ right["m"].to_numpy()
+            a, b = forest(linked)
+            both = np.concatenate([x_rep[lo : lo + SLICE], y_rep])
+            edges.append(np.stack([both[a], both[b]], 1))
+        edges = np.concatenate(edges)
+        ids, n = np.concatenate([x_rep, y_rep]), np.concatenate([x_links, y_links])
         has = np.flatnonzero(n)
-        return pd.DataFrame({"a": np.concatenate([ids[a], ids[has]]), "b": np.concatenate([ids[b], np.full(len(has), -1)]), "n": np.concatenate([np.full(len(a), -1), n[has]])})
+        return pd.DataFrame({"a": np.concatenate([edges[:, 0], ids[has]]), "b": np.concatenate([edges[:, 1], np.full(len(has), -1)]), "n": np.concatenate([np.full(len(edges), -1), n[has]])})
 
     found = staged(dealt.groupBy("dim", "cell", "i", "j").applyInPandas(compare, "a long, b long, n long"), "links")
     links = found.filter("n >= 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
