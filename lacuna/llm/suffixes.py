@@ -19,7 +19,6 @@ empty table gives an empty result; other columns pass through repeated_removed()
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,9 @@ from lacuna.llm.common import mix64, partitions, staged
 
 #: Bytes before an anchor that a window can have; anchors a block adds to the sample; anchors in the sample.
 BEFORE, SAMPLED, SPLITTERS_FROM = SPAN - GRAM, 64, 4096
+#: Entries of a group that are compared in pairs; larger groups look their windows up.
+PAIRWISE = 6
+ZIP = pa.Codec("zstd", compression_level=1)
 WIDTH = SPAN + 1 + BEFORE + 1  # suffix, its length, bytes before it reversed, their number + 1
 
 
@@ -128,11 +130,13 @@ def front_coded(table: np.ndarray, least: np.ndarray, first: int) -> bytes:
     rest = table[:, :SPAN][(place >= same[:, None]) & (place < here[:, None])]
     before = table[:, SPAN + 1 : -1][np.arange(BEFORE) < ago[:, None]]
     head = np.array([n, first, len(rest)], np.int64)
-    return b"".join([head.tobytes(), least.astype(np.int64).tobytes(), *(x.astype(np.uint8).tobytes() for x in (same, here, ago)), rest.tobytes(), before.tobytes()])
+    out = b"".join([head.tobytes(), least.astype(np.int64).tobytes(), *(x.astype(np.uint8).tobytes() for x in (same, here, ago)), rest.tobytes(), before.tobytes()])
+    return len(out).to_bytes(8, "little") + ZIP.compress(out, asbytes=True)
 
 
 def run_of(raw: bytes, block: int) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
     """(prefix shared with the entry before, suffix, bytes before it reversed, least id, block, entry)."""
+    raw = ZIP.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
     n, first, size = np.frombuffer(raw, np.int64, 3).tolist()
     least = np.frombuffer(raw, np.int64, n, 24).tolist()
     at = 24 + 8 * n
@@ -218,24 +222,31 @@ def merged(runs: list[Iterator]) -> Iterator[tuple]:
 
 
 def windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(block, entry, lo, hi, least id) for the windows of a group's entries that an entry elsewhere has too, with a smaller id."""
-    first = group[0]
-    if all(x[1] == first[1] and x[2] == first[2] for x in group):
-        low, high = max(SPAN - len(first[1]), 0), len(first[2])
-        least = min(x[3] for x in group)
-        if low <= high:
-            for x in group:
-                if x[3] > least:
-                    yield x[4], x[5], low, high, least
+    """(block, entry, lo, hi, least id) for the windows of a group's entries that an entry elsewhere has too, with a smaller id.
+
+    group: (prefix shared with the one before, entry), in the order of the suffixes.
+    """
+    if len(group) <= PAIRWISE:
+        for i, (_, x) in enumerate(group):
+            same = SPAN
+            for shared, y in group[i + 1 :]:
+                same = min(same, shared)
+                if x[3] != y[3]:
+                    a, b = x[2], y[2]
+                    high = len(a) if a == b else common(a, b)
+                    if SPAN - same <= high:
+                        z, least = (y, x[3]) if x[3] < y[3] else (x, y[3])
+                        yield z[4], z[5], SPAN - same, high, least
         return
+    entries = [x for _, x in group]
     best: list[dict] = [{} for _ in range(BEFORE + 1)]
-    for _, suffix, before, least, _, _ in group:
+    for _, suffix, before, least, _, _ in entries:
         for x in range(max(SPAN - len(suffix), 0), len(before) + 1):
             key = (suffix[: SPAN - x], before[:x])
             mine = best[x]
             if mine.get(key, least) >= least:
                 mine[key] = least
-    for _, suffix, before, least, block, entry in group:
+    for _, suffix, before, least, block, entry in entries:
         start, told = 0, None
         low, high = max(SPAN - len(suffix), 0), len(before)
         for x in range(low, high + 1):
@@ -249,10 +260,13 @@ def windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
             yield block, entry, start, high, told
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of queries that are over."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    for i in range(n):
+        if a[i] != b[i]:
+            return i
+    return n
 
 
 PACKED = "block int, part int, kind int, data binary"
@@ -315,7 +329,6 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return _rows(rows)
 
     found = staged(dealt.groupBy("block").applyInArrow(anchor, PACKED).groupBy("part").applyInArrow(meet, PACKED), "anchors")
-    release(docs)
     shared = found.filter("kind = 1").select("block", "part", "kind", "data")
     eights = F.explode(F.transform(F.sequence(F.lit(1), F.length("data"), F.lit(8)), lambda i: F.substring(F.col("data"), i, 8)))
     sample = found.filter("kind = 2 AND length(data) >= 8").select(eights.alias("s"))
@@ -355,15 +368,13 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 if len(group) > 1:
                     settle(group)
                 group = []
-            group.append(entry)
+            group.append((same, entry))
         if len(group) > 1:
             settle(group)
         return _rows([(b, 0, 3, np.array(x, np.int64).tobytes()) for b, x in out.items()])
 
     runs = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sort, PACKED)
     told = staged(runs.groupBy("part").applyInArrow(merge, PACKED), "repeats")
-    del runs
-    release(docs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes long, n_removed long, n_spans long, kept binary"
     whole = docs.withColumn("__block", salt)
     id_at, text_at = names.index(doc_id), names.index(text)
