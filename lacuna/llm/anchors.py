@@ -11,7 +11,7 @@ import numpy as np
 from lacuna.llm.common import mix64
 
 #: Bytes of a match, of an anchor's string, and bytes handled at once.
-SPAN, GRAM, CHUNK = 50, 20, 1_000_000
+SPAN, GRAM, CHUNK = 50, 20, 400_000
 
 _B = 0xD1342543DE82EF95  # any odd number
 _BYTE = mix64(np.random.default_rng(20260303).integers(1, 1 << 63, 256, dtype=np.uint64))

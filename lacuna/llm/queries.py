@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, cells, language, mixing, partenum, pivots, suffixes, token_files, wrapper
+from lacuna.llm import bpe, cells, language, lm, mixing, partenum, pivots, suffixes, token_files, wrapper
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -17,6 +17,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all documents."""
+    return lm.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -31,7 +36,7 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.joined(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return partenum.joined(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +61,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm": op1_lm,
     "op2_pivots": op2_pivots,
     "op3_bpe": op3_bpe,
     "op4_mix": op4_mix,

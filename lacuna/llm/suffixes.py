@@ -32,7 +32,7 @@ from lacuna.llm.common import mix64, partitions, staged
 #: Bytes before an anchor that a window can have; anchors a block adds to the sample; anchors in the sample.
 BEFORE, SAMPLED, SPLITTERS_FROM = SPAN - GRAM, 64, 4096
 #: Entries of a group that are compared in pairs; larger groups look their windows up.
-PAIRWISE = 6
+PAIRWISE, WAITING, NOBODY = 6, 20_000, np.iinfo(np.int64).max
 ZIP = pa.Codec("zstd", compression_level=1)
 WIDTH = SPAN + 1 + BEFORE + 1  # suffix, its length, bytes before it reversed, their number + 1
 
@@ -40,15 +40,15 @@ WIDTH = SPAN + 1 + BEFORE + 1  # suffix, its length, bytes before it reversed, t
 class Block:
     """Documents of one block and their anchors."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[bytes]):
         order = sorted((i for i, d in enumerate(ids) if d is not None), key=lambda i: ids[i])
         self.rows = order
         self.ids = np.array([ids[i] for i in order], np.int64)
-        self.texts = [(texts[i] or "").encode() for i in order]
+        self.texts = [texts[i] for i in order]
         size = np.array([len(x) for x in self.texts], np.int64)
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
-        self.raw = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.raw = np.frombuffer(b"".join(self.texts), np.uint8)  # texts are slices of it from here on
         at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for lo, some in chunks(self.texts):
             hi = lo + len(some)
@@ -58,6 +58,7 @@ class Block:
             keys.append(k)
         self.at, self.keys = np.concatenate(at), np.concatenate(keys)
         self.doc = np.searchsorted(self.ends, self.at, "right")
+        del self.texts
 
     def shared(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in ascending order, and whether two documents of the block have them."""
@@ -115,7 +116,12 @@ class Block:
         which, told = which[goes], told[goes]
         np.add.at(change, self.at[which] - hi[told], 1)
         np.add.at(change, self.at[which] - lo[told] + SPAN, -1)
-        return np.cumsum(change[:-1]) > 0
+        return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
+def encoded(texts: pa.ChunkedArray) -> list[bytes]:
+    """UTF-8 bytes of texts, none for null."""
+    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
 def front_coded(table: np.ndarray, least: np.ndarray, first: int) -> bytes:
@@ -221,43 +227,51 @@ def merged(runs: list[Iterator]) -> Iterator[tuple]:
             at //= 2
 
 
-def windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
+def few_windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
     """(block, entry, lo, hi, least id) for the windows of a group's entries that an entry elsewhere has too, with a smaller id.
 
-    group: (prefix shared with the one before, entry), in the order of the suffixes.
+    group: (prefix shared with the one before, entry), in the order of the suffixes. Compares all pairs.
     """
-    if len(group) <= PAIRWISE:
-        for i, (_, x) in enumerate(group):
-            same = SPAN
-            for shared, y in group[i + 1 :]:
-                same = min(same, shared)
-                if x[3] != y[3]:
-                    a, b = x[2], y[2]
-                    high = len(a) if a == b else common(a, b)
-                    if SPAN - same <= high:
-                        z, least = (y, x[3]) if x[3] < y[3] else (x, y[3])
-                        yield z[4], z[5], SPAN - same, high, least
-        return
-    entries = [x for _, x in group]
-    best: list[dict] = [{} for _ in range(BEFORE + 1)]
-    for _, suffix, before, least, _, _ in entries:
-        for x in range(max(SPAN - len(suffix), 0), len(before) + 1):
-            key = (suffix[: SPAN - x], before[:x])
-            mine = best[x]
-            if mine.get(key, least) >= least:
-                mine[key] = least
-    for _, suffix, before, least, block, entry in entries:
-        start, told = 0, None
-        low, high = max(SPAN - len(suffix), 0), len(before)
-        for x in range(low, high + 1):
-            now = best[x][suffix[: SPAN - x], before[:x]]
-            now = now if now < least else None
-            if now != told:
-                if told is not None:
-                    yield block, entry, start, x - 1, told
-                start, told = x, now
-        if told is not None:
-            yield block, entry, start, high, told
+    for i, (_, x) in enumerate(group):
+        same = SPAN
+        for shared, y in group[i + 1 :]:
+            same = min(same, shared)
+            if x[3] != y[3]:
+                a, b = x[2], y[2]
+                high = len(a) if a == b else common(a, b)
+                if SPAN - same <= high:
+                    z, least = (y, x[3]) if x[3] < y[3] else (x, y[3])
+                    yield z[4], z[5], SPAN - same, high, least
+
+
+def many_windows(groups: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
+    """As few_windows, for several groups end to end: looks up, for each number of bytes before the anchor, who shares the window."""
+    n = len(groups)
+    shared = np.array([k for k, _ in groups])
+    here = np.array([len(x[1]) for _, x in groups])
+    ago = np.array([len(x[2]) for _, x in groups])
+    least = np.array([x[3] for _, x in groups], np.int64)
+    befores, rank = np.unique(np.array([x[2] + bytes(BEFORE - len(x[2])) + bytes([len(x[2]) + 1]) for _, x in groups], f"S{BEFORE + 1}"), return_inverse=True)
+    table = np.frombuffer(befores.tobytes(), np.uint8).reshape(len(befores), BEFORE + 1)
+    differs = table[1:, :BEFORE] != table[:-1, :BEFORE]
+    alike = np.concatenate([[0], np.where(differs.any(1), differs.argmax(1), BEFORE)])
+    best = np.full((n, BEFORE + 2), NOBODY)
+    for x in range(BEFORE + 1):
+        at = np.flatnonzero((here >= SPAN - x) & (ago >= x))
+        if len(at):
+            suffix, before = np.cumsum(shared < SPAN - x), np.cumsum(alike < x)[rank]
+            _, which = np.unique(suffix[at] * (len(befores) + 1) + before[at], return_inverse=True)
+            found = np.full(len(at), NOBODY)
+            np.minimum.at(found, which, least[at])
+            best[at, x] = found[which]
+    best[best >= least[:, None]] = NOBODY
+    change = np.ones((n, BEFORE + 2), bool)
+    change[:, 1:] = best[:, 1:] != best[:, :-1]
+    row, lo = np.nonzero(change)
+    hi = np.append(lo[1:], 0) - 1
+    told = best[row, lo]
+    for i, a, b, m in zip(*(x[told < NOBODY].tolist() for x in (row, lo, hi, told)), strict=True):
+        yield groups[i][1][4], groups[i][1][5], a, b, m
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -285,13 +299,13 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """docs with n_bytes, n_removed, n_spans and kept, the bytes of text that stay (binary)."""
     spark = docs.sparkSession
     n = partitions(spark)
-    blocks = 2 * n
+    blocks = 4 * n
     names = docs.columns
     salt = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))), F.lit(blocks)).cast("int")
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), salt.alias("block"))
 
     def block_of(t: pa.Table) -> Block:
-        return Block(t.column("doc_id").to_pylist(), t.column("text").to_pylist())
+        return Block(t.column("doc_id").to_pylist(), encoded(t.column("text")))
 
     def anchor(key: tuple, t: pa.Table) -> pa.Table:
         b = block_of(t)
@@ -336,8 +350,7 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     splitters = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     cuts = np.array([int.from_bytes(x, "big") for x in splitters], np.uint64)
 
-    def narrowed(t: pa.Table, more: pa.Table) -> Block:
-        b = block_of(t)
+    def narrowed(b: Block, more: pa.Table) -> Block:
         kind = more.column("kind").to_pylist()
         there = [np.frombuffer(x, np.uint64) for k, x in zip(kind, more.column("data").to_pylist(), strict=True) if k == 1]
         b.narrow(np.unique(np.concatenate(there)) if there else np.zeros(0, np.uint64))
@@ -347,7 +360,7 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def sort(key: tuple, t: pa.Table, more: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _rows([])
-        b = narrowed(t, more)
+        b = narrowed(block_of(t), more)
         eight = np.ascontiguousarray(b.table[:, :8]).reshape(-1).view(">u8").astype(np.uint64)
         part = np.searchsorted(cuts, eight, "right")
         cut = np.searchsorted(part, np.arange(len(cuts) + 2))
@@ -358,20 +371,31 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         runs = [run_of(x, b) for b, x in zip(t.column("block").to_pylist(), t.column("data").to_pylist(), strict=True)]
         out: dict[int, list] = {}
 
-        def settle(group):
-            for b, *rest in windows(group):
+        def settle(found):
+            for b, *rest in found:
                 out.setdefault(b, []).append(rest)
+                if len(out[b]) >= 10_000:
+                    packed.append((b, 0, 3, np.array(out.pop(b), np.int64).tobytes()))
 
         group: list = []
+        waiting: list = []
+        packed: list = []
         for same, entry in merged(runs):
             if same < GRAM and group:
-                if len(group) > 1:
-                    settle(group)
+                if 1 < len(group) <= PAIRWISE:
+                    settle(few_windows(group))
+                elif len(group) > PAIRWISE:
+                    waiting += group
+                    if len(waiting) > WAITING:
+                        settle(many_windows(waiting))
+                        waiting = []
                 group = []
             group.append((same, entry))
         if len(group) > 1:
-            settle(group)
-        return _rows([(b, 0, 3, np.array(x, np.int64).tobytes()) for b, x in out.items()])
+            waiting += group
+        if waiting:
+            settle(many_windows(waiting))
+        return _rows(packed + [(b, 0, 3, np.array(x, np.int64).tobytes()) for b, x in out.items()])
 
     runs = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sort, PACKED)
     told = staged(runs.groupBy("part").applyInArrow(merge, PACKED), "repeats")
@@ -381,13 +405,11 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def mark(key: tuple, t: pa.Table, more: pa.Table) -> pa.Table:
         ids = [None if x is None else int(x) for x in t.column(id_at).to_pylist()]
-        texts = t.column(text_at).to_pylist()
-        size = [len((x or "").encode()) for x in texts]
+        kept = encoded(t.column(text_at))
+        size = [len(x) for x in kept]
         gone, spans = [0] * len(ids), [0] * len(ids)
-        kept = [(x or "").encode() for x in texts]
         if ids:
-            two = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
-            b = narrowed(two, more)
+            b = narrowed(Block(ids, kept), more)
             parts = [np.frombuffer(x, np.int64).reshape(-1, 4) for k, x in zip(more.column("kind").to_pylist(), more.column("data").to_pylist(), strict=True) if k == 3]
             told_ = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
             goes = b.covered(told_[:, 0], told_[:, 1], told_[:, 2], told_[:, 3])
