@@ -1,15 +1,54 @@
-"""A corpus pipeline: language ID, near duplicates, repeated passages, mixing, encoding."""
+"""A corpus pipeline: language ID, near duplicates, repeated passages, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of documents. Every stage works on all that the one before kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacuna.llm import bpe, language, mixing, partenum, suffixes
+from lacuna.llm.common import staged
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID rejects texts in which it finds no language: null texts and texts without a letter."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return language.identified(docs, *rest).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    return partenum.representatives(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that a document with a smaller id has too go from the text; n_chars follows."""
+    return suffixes.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the mixed documents, as digests, and their round trip."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", identify), ("jaccard_join", join_near), ("suffix_dedup", cut_repeats), ("mix", mix), ("bpe", encode)]
 
-STAGES: list = []
+#: Similarity joins, suffix matches and BPE have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's output is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

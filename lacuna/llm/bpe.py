@@ -18,6 +18,7 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 # Fixed value: the pre-token pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words whose ids a Python worker keeps between blocks, and bytes of text in a block.
-KEPT_WORDS, BLOCK_BYTES = 400_000, 6_000_000
+#: Words whose ids a Python worker holds before it drops all but the first FIRST_WORDS, and bytes of text in a block.
+KEPT_WORDS, FIRST_WORDS, BLOCK_BYTES = 250_000, 50_000, 6_000_000
 
 
 def byte_letters() -> list[str]:
@@ -78,6 +79,13 @@ class Codec:
     def forget(self) -> None:
         self.words, self.flat, self.ends, self.text = _Numbered(), np.zeros(0, np.int32), np.zeros(0, np.int64), []
 
+    def trim(self) -> None:
+        """Keeps the words met first, among which are the frequent ones."""
+        self.words = _Numbered(islice(self.words.items(), FIRST_WORDS))
+        self.ends = self.ends[:FIRST_WORDS].copy()
+        self.flat = self.flat[: int(self.ends[-1])].copy()
+        del self.text[FIRST_WORDS:]
+
     # -- the pair occurrence index
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -210,7 +218,7 @@ class Codec:
         block, held = [], 0
         for text in texts:
             if len(self.words) > KEPT_WORDS and not block:
-                self.forget()
+                self.trim()
             block.append(self.numbered(text or ""))
             held += len(text or "")
             if held >= BLOCK_BYTES:

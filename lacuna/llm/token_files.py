@@ -45,9 +45,12 @@ class LibraryCodec(Codec):
 
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, letters = self.model.tokenize, self.letters
-        lists = [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
-        ends = np.cumsum([len(x) for x in lists])
-        return np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1])), ends
+        ids: list[int] = []
+        ends: list[int] = []
+        for w in words:
+            ids += [t.id for t in tokenize(w.decode("latin-1").translate(letters))]
+            ends.append(len(ids))
+        return np.array(ids, np.int32), np.array(ends, np.int64)
 
     def learn(self) -> None:
         known = len(self.ends)
