@@ -295,8 +295,11 @@ def _deal(keys: np.ndarray, n: int) -> np.ndarray:
     return (((mix64(keys) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept, the bytes of text that stay (binary)."""
+def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept, the bytes of text that stay (binary).
+
+    whole_characters: what is left in kept of characters that were cut goes too.
+    """
     spark = docs.sparkSession
     n = partitions(spark)
     blocks = 4 * n
@@ -419,6 +422,8 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 if k:
                     gone[i], spans[i] = k, int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum())
                     kept[i] = b.raw[b.starts[j] : b.ends[j]][~mine].tobytes()
+                    if whole_characters:
+                        kept[i] = kept[i].decode("utf-8", "ignore").encode()
         columns = [t.column(i) for i in range(len(names))]
         return pa.Table.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -428,6 +433,6 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with what stays of each text; bytes of a character that was cut go with it."""
-    out = repeated_removed(docs)
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")).otherwise(F.col("text"))
+    out = repeated_removed(docs, whole_characters=True)
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
