@@ -25,7 +25,7 @@ from lacuna.llm.common import staged
 #: Words as the contracts have them: runs of all but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source weights by rank of the source, repeating; most epochs of a source; documents in a range of keys.
-WEIGHTS, MOST, RANGE_ROWS = (5, 2, 1), 3, 20_000
+WEIGHTS, MOST, RANGE_ROWS = (5, 2, 1), 3, 4_000
 
 
 def n_words(text: Column) -> Column:
