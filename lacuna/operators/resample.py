@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Statistics this close count as equal, so that no comparison hangs on the order of a sum.
+EQUAL = 1e-9
 
 def hashed(*parts: Column, below: Column) -> Column:
     """A number from 0 up to `below`, from the first 32 bits of an md5."""
@@ -36,15 +38,15 @@ def block_means(rows: DataFrame, by: Sequence[str], xs: Sequence[str], reps: int
     b = F.lit(block) if isinstance(block, int) else block
     w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy(*by)
-    sums = rows.select(*by, "i", "n", b.cast("long").alias("b"), *[F.coalesce(F.sum(x).over(w), F.lit(0.0)).alias(f"p_{x}") for x in xs], *[F.sum(x).over(total).alias(f"t_{x}") for x in xs])
-    groups = sums.filter("i = 0").select(*by, "n", "b", *[f"t_{x}" for x in xs])
-    draws = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("b")) - 1)))
-    draws = draws.withColumn("s", hashed(F.lit(seed), F.col("rep"), F.col("k"), below=F.col("n"))).withColumn("len", F.least(F.col("b"), F.col("n") - F.col("k") * F.col("b")))
-    draws = draws.withColumn("e", F.pmod(F.col("s") + F.col("len"), F.col("n"))).withColumn("round", F.floor((F.col("s") + F.col("len")) / F.col("n")))
-    at = sums.select(*by, F.col("i").alias("s"), *[F.col(f"p_{x}").alias(f"s_{x}") for x in xs])
-    to = sums.select(*by, F.col("i").alias("e"), *[F.col(f"p_{x}").alias(f"e_{x}") for x in xs])
-    part = draws.join(at, [*by, "s"]).join(to, [*by, "e"])
-    mean = lambda x: F.sum(F.col(f"e_{x}") + F.col("round") * F.col(f"t_{x}") - F.col(f"s_{x}")) / F.first("n")
+    sums = rows.select(*by, "i", "n", b.cast("long").alias("__b"), *[F.coalesce(F.sum(x).over(w), F.lit(0.0)).alias(f"__p_{x}") for x in xs], *[F.sum(x).over(total).alias(f"__t_{x}") for x in xs])
+    groups = sums.filter("i = 0").select(*by, "n", "__b", *[f"__t_{x}" for x in xs])
+    draws = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("__b")) - 1)))
+    draws = draws.withColumn("__s", hashed(F.lit(seed), F.col("rep"), F.col("__k"), below=F.col("n"))).withColumn("__len", F.least(F.col("__b"), F.col("n") - F.col("__k") * F.col("__b")))
+    draws = draws.withColumn("__e", F.pmod(F.col("__s") + F.col("__len"), F.col("n"))).withColumn("__round", F.floor((F.col("__s") + F.col("__len")) / F.col("n")))
+    at = sums.select(*by, F.col("i").alias("__s"), *[F.col(f"__p_{x}").alias(f"__s_{x}") for x in xs])
+    to = sums.select(*by, F.col("i").alias("__e"), *[F.col(f"__p_{x}").alias(f"__e_{x}") for x in xs])
+    part = draws.join(at, [*by, "__s"]).join(to, [*by, "__e"])
+    mean = lambda x: F.sum(F.col(f"__e_{x}") + F.col("__round") * F.col(f"__t_{x}") - F.col(f"__s_{x}")) / F.first("n")
     return part.groupBy(*by, "rep").agg(*[mean(x).alias(x) for x in xs])
 
 
@@ -67,7 +69,7 @@ def shift_p(rows: DataFrame, by: Sequence[str], x: str, y: str, shifts: Sequence
     """Two-sided p of a correlation against its circular shifts."""
     real = rows.groupBy(*by).agg(F.corr(x, y).alias("r0"))
     null = shifted(rows, by, x, y, shifts).join(real, list(by))
-    return null.groupBy(*by).agg(F.first("r0").alias("r"), ((1 + F.sum((F.abs("r") >= F.abs("r0")).cast("int"))) / (len(shifts) + 1)).alias("p"))
+    return null.groupBy(*by).agg(F.first("r0").alias("r"), ((1 + F.sum((F.abs("r") >= F.abs("r0") - EQUAL).cast("int"))) / (len(shifts) + 1)).alias("p"))
 
 
 def max_null(rows: DataFrame, family: Sequence[str], xs: Sequence[str], reps: int, block: Column | int, seed: int) -> DataFrame:
@@ -86,8 +88,8 @@ def max_null(rows: DataFrame, family: Sequence[str], xs: Sequence[str], reps: in
     centred = long.join(real, [*keys, "candidate"]).withColumn("z", (F.col("value") - F.col("mean")) / F.nullif(F.col("se"), F.lit(0.0)))
     worst = centred.groupBy(*keys, "rep").agg(F.max("z").alias("top"))
     cut = worst.groupBy(*keys).agg(F.percentile("top", 0.95).alias("null_95"))
-    beaten = real.join(worst, keys).groupBy(*keys, "candidate").agg(((1 + F.sum((F.col("top") >= F.col("t")).cast("int"))) / (reps + 1)).alias("adjusted_p"))
-    raw = centred.groupBy(*keys, "candidate").agg(((1 + F.sum((F.col("z") >= F.col("t")).cast("int"))) / (reps + 1)).alias("raw_p"))
+    beaten = real.join(worst, keys).groupBy(*keys, "candidate").agg(((1 + F.sum((F.col("top") >= F.col("t") - EQUAL).cast("int"))) / (reps + 1)).alias("adjusted_p"))
+    raw = centred.groupBy(*keys, "candidate").agg(((1 + F.sum((F.col("z") >= F.col("t") - EQUAL).cast("int"))) / (reps + 1)).alias("raw_p"))
     return real.join(beaten, [*keys, "candidate"]).join(raw, [*keys, "candidate"]).join(cut, keys)
 
 
@@ -96,7 +98,8 @@ def holm(df: DataFrame, by: Sequence[str], p: str, name: str = "holm_p") -> Data
     w = Window.partitionBy(*by, F.col(p).isNull()).orderBy(p)
     m = F.count("*").over(Window.partitionBy(*by, F.col(p).isNull()))
     scaled = df.withColumn("__h", (m - F.row_number().over(w) + 1) * F.col(p))
-    return scaled.withColumn(name, F.least(F.lit(1.0), F.max("__h").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__h")
+    highest = F.max("__h").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return scaled.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), highest))).drop("__h")
 
 
 def binomial_tail(n: Column, hits: Column) -> Column:

@@ -52,7 +52,7 @@ def extremes(spark, sf_dir):
 def month_end(spark, sf_dir):
     """Last quote of each month, as weekly and monthly grains of one source."""
     d = daily(spark, sf_dir)
-    return d.groupBy("series", F.last_day("d").alias("month_end")).agg(r6(F.max_by("price", "d")).alias("last"), F.round(F.avg("price"), 3).alias("mean"), F.count("*").alias("rows"))
+    return d.groupBy("series", F.last_day("d").alias("month_end")).agg(r6(F.max_by("price", "d")).alias("last"), F.avg("n").alias("mean_orders"), F.count("*").alias("rows"))
 
 
 def bucketed(spark, sf_dir):
@@ -180,7 +180,7 @@ SELECT f.series, any_value(f.n) AS n, round(any_value(f.r), 6) + 0.0 AS r, round
 SELECT o_orderstatus, round(sum(CASE WHEN k <= 1 THEN o_totalprice END) / sum(o_totalprice), 6) AS top1_share, round(sum(CASE WHEN k <= 5 THEN o_totalprice END) / sum(o_totalprice), 6) AS top5_share, round(sum(CASE WHEN k <= 10 THEN o_totalprice END) / sum(o_totalprice), 6) AS top10_share FROM k GROUP BY 1"""),
     "extremes": (extremes, f"""WITH {DAILY}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY close, d) AS a, row_number() OVER (PARTITION BY series ORDER BY close DESC, d DESC) AS b FROM daily)
 SELECT series, min(CASE WHEN a = 1 THEN d END) AS lowest, min(CASE WHEN b = 1 THEN d END) AS highest, min(CASE WHEN n >= 3 THEN d END) AS first_busy, round(avg((n > 1)::INT), 6) AS busy_share, count(DISTINCT n) AS sizes FROM k GROUP BY series"""),
-    "month_end": (month_end, f"WITH {DAILY} SELECT series, last_day(d) AS month_end, round(arg_max(price, d), 6) AS last, round(avg(price), 3) AS mean, count(*) AS rows FROM daily GROUP BY ALL"),
+    "month_end": (month_end, f"WITH {DAILY} SELECT series, last_day(d) AS month_end, round(arg_max(price, d), 6) AS last, avg(n) AS mean_orders, count(*) AS rows FROM daily GROUP BY ALL"),
     "bucketed": (bucketed, f"WITH {DAILY}, b AS (SELECT *, CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 5 THEN '4-5' ELSE '6+' END AS regime FROM daily) SELECT series, regime, count(*) AS rows, round(avg(price), 6) AS mean FROM b GROUP BY ALL"),
     "confusion_metrics": (confusion_metrics, f"""WITH {TARGETS}, t AS (SELECT series, direction AS a, CASE WHEN f > 0.2 THEN -1 WHEN f < -0.2 THEN 1 ELSE 0 END AS p FROM targets WHERE f IS NOT NULL),
 c AS (SELECT series, count(*) AS n, sum((a = p)::INT) AS hit, sum((a = -1 AND p = -1)::INT) AS mm, sum((a = 0 AND p = 0)::INT) AS zz, sum((a = 1 AND p = 1)::INT) AS pp, sum((a = -1 AND p = 1)::INT) AS mp,
@@ -215,11 +215,11 @@ SELECT series, round(avg(((y = -1)::INT - m) ** 2 + ((y = 0)::INT - z) ** 2 + ((
 SELECT t.series, count(*) AS n, round(avg(ret), 6) + 0.0 AS mean, round(any_value(lo), 6) + 0.0 AS ci_low, round(any_value(hi), 6) + 0.0 AS ci_high, round(any_value(se), 6) AS se, round(any_value(p), 6)::DOUBLE AS p_one_sided FROM targets t JOIN o ON t.series = o.series GROUP BY t.series"""),
     "circular_shift": (circular_shift, f"""WITH {TARGETS}, t AS (SELECT series, f, ret, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM targets WHERE f IS NOT NULL), s AS (SELECT unnest(range(10, 410, 10)) AS s),
 c AS (SELECT a.series, s, corr(a.f, b.ret) AS r FROM t a CROSS JOIN s JOIN t b ON a.series = b.series AND b.i = (a.i + s) % a.n GROUP BY ALL), o AS (SELECT series, corr(f, ret) AS r0 FROM t GROUP BY series)
-SELECT o.series, round(any_value(r0), 6) + 0.0 AS r, round((1 + sum((abs(r) >= abs(r0))::INT)) / 41.0, 6)::DOUBLE AS p FROM c JOIN o ON c.series = o.series GROUP BY o.series"""),
+SELECT o.series, round(any_value(r0), 6) + 0.0 AS r, round((1 + sum((abs(r) >= abs(r0) - 1e-9)::INT)) / 41.0, 6)::DOUBLE AS p FROM c JOIN o ON c.series = o.series GROUP BY o.series"""),
     "max_null": (max_null, f"""WITH {TARGETS}, t AS (SELECT series, d, abs(ret) - abs(ret - 0.01) AS a, abs(ret) - abs(ret + f * 0.1) AS b, -f * ret AS c FROM targets WHERE f IS NOT NULL), {BOOT.format(t="t", w=W, seed=7, reps=200, b=21, avgs="avg(a) AS a, avg(b) AS b, avg(c) AS c")},
 l AS (UNPIVOT m ON a, b, c INTO NAME candidate VALUE v), o0 AS (SELECT series, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM t GROUP BY series), o AS (UNPIVOT o0 ON a, b, c INTO NAME candidate VALUE mean), se AS (SELECT series, candidate, stddev_samp(v) AS se FROM l GROUP BY ALL),
 z AS (SELECT l.series, l.candidate, rep, (v - mean) / se AS z, mean / se AS t, mean, se FROM l JOIN o USING (series, candidate) JOIN se USING (series, candidate)), w AS (SELECT series, rep, max(z) AS top FROM z GROUP BY ALL)
-SELECT z.series, z.candidate, round(any_value(mean), 6) + 0.0 AS mean, round(any_value(se), 6) AS se, round(any_value(t), 6) + 0.0 AS t, round((1 + sum((z.z >= t)::INT)) / 201.0, 6)::DOUBLE AS raw_p, round((1 + sum((top >= t)::INT)) / 201.0, 6)::DOUBLE AS adjusted_p,
+SELECT z.series, z.candidate, round(any_value(mean), 6) + 0.0 AS mean, round(any_value(se), 6) AS se, round(any_value(t), 6) + 0.0 AS t, round((1 + sum((z.z >= t - 1e-9)::INT)) / 201.0, 6)::DOUBLE AS raw_p, round((1 + sum((top >= t - 1e-9)::INT)) / 201.0, 6)::DOUBLE AS adjusted_p,
  round(quantile_cont(top, 0.95), 6) AS null_95 FROM z JOIN w ON z.series = w.series AND z.rep = w.rep GROUP BY z.series, z.candidate"""),
     "holm": (holm, """WITH p AS (SELECT p_brand, substr(p_brand, 7, 1) AS family, CASE WHEN count(*) % 5 <> 0 THEN abs(avg(p_size) / 400 - 0.05) END AS p FROM part GROUP BY p_brand),
 k AS (SELECT *, (count(*) OVER (PARTITION BY family, p IS NULL) - row_number() OVER (PARTITION BY family, p IS NULL ORDER BY p) + 1) * p AS h FROM p)

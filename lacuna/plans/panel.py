@@ -144,7 +144,7 @@ def contract_returns(spark, sf_dir):
     rows = nearby.withColumn("root", F.lit("all")).select("root", "d", "symbol", "price", "same")
     rows = rows.withColumn("rolled", q.changed("symbol")).withColumn("raw", q.log_change("price"))
     out = rows.withColumn("basis", F.when(F.col("rolled"), F.col("raw") - F.col("same"))).withColumn("adjusted", q.index("same"))
-    return out.select("d", "symbol", "rolled", r6("raw").alias("raw"), r6("same").alias("same"), r6("basis").alias("basis"), r6("adjusted").alias("adjusted"))
+    return out.select("d", "symbol", "rolled", r6("raw").alias("raw"), r6("same").alias("same"), r6("basis").alias("basis"), r6(F.log("adjusted")).alias("log_adjusted"))
 
 
 W = "PARTITION BY series ORDER BY d"
@@ -215,5 +215,5 @@ own AS (SELECT *, date_trunc('month', d)::DATE AS m, CASE WHEN date_diff('day',
 n AS (SELECT d, symbol, price, same FROM own JOIN near ON own.m = near.m AND own.series = near.symbol),
 r AS (SELECT *, coalesce(symbol <> lag(symbol) OVER (ORDER BY d), false) AS rolled, ln(price / lag(price) OVER (ORDER BY d)) AS raw FROM n)
 SELECT d, symbol, rolled, round(raw, 6) + 0.0 AS raw, round(same, 6) + 0.0 AS same, round(CASE WHEN rolled THEN raw - same END, 6) + 0.0 AS basis,
- round(100 * exp(sum(coalesce(same, 0)) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS adjusted FROM r"""),
+ round(ln(100) + sum(coalesce(same, 0)) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS log_adjusted FROM r"""),
 }

@@ -39,7 +39,7 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of small text files with their place: source_file, i, line. A file is read whole, as its sections need order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("v"))
     return whole.select("source_file", F.posexplode(F.split("v", "\r?\n")).alias("i", "line"))
 
 
