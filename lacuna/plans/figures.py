@@ -223,7 +223,7 @@ SELECT z.series, z.candidate, round(any_value(mean), 6) + 0.0 AS mean, round(any
  round(quantile_cont(top, 0.95), 6) AS null_95 FROM z JOIN w ON z.series = w.series AND z.rep = w.rep GROUP BY z.series, z.candidate"""),
     "holm": (holm, """WITH p AS (SELECT p_brand, substr(p_brand, 7, 1) AS family, CASE WHEN count(*) % 5 <> 0 THEN abs(avg(p_size) / 400 - 0.05) END AS p FROM part GROUP BY p_brand),
 k AS (SELECT *, (count(*) OVER (PARTITION BY family, p IS NULL) - row_number() OVER (PARTITION BY family, p IS NULL ORDER BY p) + 1) * p AS h FROM p)
-SELECT p_brand, family, round(p, 6) AS p, round(least(1.0, max(h) OVER (PARTITION BY family, p IS NULL ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS holm_p FROM k"""),
+SELECT p_brand, family, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(1.0, max(h) OVER (PARTITION BY family, p IS NULL ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END, 6) AS holm_p FROM k"""),
     "binomial_tail": (binomial_tail, """WITH n AS (SELECT (n_nationkey + 10)::BIGINT AS n, ((n_nationkey * 7) % 20)::BIGINT AS hits FROM nation), k AS (SELECT n, hits, unnest(range(hits, n + 1)) AS k FROM n WHERE hits <= n),
 s AS (SELECT n, hits, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) AS tail FROM k GROUP BY ALL) SELECT n.n, n.hits, round(least(1.0, coalesce(tail, 0)), 9) AS tail FROM n LEFT JOIN s ON n.n = s.n AND n.hits = s.hits"""),
 }
