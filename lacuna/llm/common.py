@@ -25,11 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     """df written once as Parquet in the shared folder and read back.
 
-    Cuts the lineage: a lost executor costs no more than the tasks that it ran.
+    Cuts the lineage: a lost executor costs no more than the tasks that it ran. share: the
+    table is so many times smaller than those that set the number of partitions, and is
+    written by as many times fewer tasks.
     """
+    if share > 1:
+        df = df.coalesce(max(6, partitions(df.sparkSession) // share))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)

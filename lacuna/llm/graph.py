@@ -1,7 +1,7 @@
 """Connected components of links between rows, by alternating large and small stars.
 
-Every round is two grouped minima and two joins over a table written to the shared
-folder; nothing but two sums per round reaches the driver.
+Every round is two grouped minima and two joins, and one table in the shared folder;
+nothing but two sums per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import staged
 
+#: Links are so many times fewer than what they were found in, for the number of tasks.
+SHARE = 16
+
 
 def _minima(pairs: DataFrame) -> DataFrame:
     """(u, m): least of u and its neighbours v."""
@@ -22,15 +25,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Ids without links do not appear. Repeated links and links of an id to itself are fine.
     """
-    edges = staged(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = staged(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", SHARE)
     told = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_minima(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        large = staged(large.distinct(), "large-star")
+        large = large.distinct()
         least = _minima(large)  # in large u > v, so these are all of u's lesser neighbours
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "small-star")
+        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "small-star", SHARE)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == told:
             break
