@@ -48,7 +48,8 @@ def choose(vectors: DataFrame) -> dict[int, np.ndarray]:
     sample = vectors.withColumn("dim", F.size("x")).withColumn("r", rank).filter(F.col("r") <= FROM).select("dim", "x").collect()
     out = {}
     for dim in sorted({r.dim for r in sample}):
-        rows = scaled(np.array([r.x for r in sample if r.dim == dim], np.float64).reshape(-1, dim))
+        some = [r.x for r in sample if r.dim == dim]
+        rows = scaled(np.array(some, np.float64).reshape(len(some), dim))
         picked = [0]
         near = np.linalg.norm(rows - rows[0], axis=1)
         while len(picked) < min(PIVOTS, len(rows)) and near.max() > 0:

@@ -65,7 +65,7 @@ class Block:
         order = np.argsort(self.keys, kind="stable")
         keys, ids = self.keys[order], self.ids[self.doc[order]]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(keys)) - 1
+        last = np.append(first[1:], len(keys))[: len(first)] - 1
         return keys[first], ids[first] != ids[last]  # ids ascend within a key, as the sort is stable
 
     def narrow(self, elsewhere: np.ndarray) -> None:
