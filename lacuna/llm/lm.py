@@ -201,3 +201,27 @@ def scored(docs: DataFrame, targets: DataFrame, least: int = LEAST, weight: floa
         return b.scores(all_words, weight, added)
 
     return dealt_with(side.unionByName(pairs), score, SCORES)
+
+
+ORACLE = r"""
+WITH t AS (
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+raw AS (SELECT doc_id, target, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t),
+v AS (SELECT w FROM raw GROUP BY w HAVING count(*) >= 2),
+k AS (
+  SELECT doc_id, target, i, CASE WHEN v.w IS NULL THEN ' other' ELSE raw.w END AS w FROM raw LEFT JOIN v ON raw.w = v.w
+  UNION ALL SELECT doc_id, target, len(w) + 1, ' end' FROM t WHERE len(w) > 0),
+p AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS h FROM k),
+one AS (SELECT w, count(*) AS b, sum(target::INT) AS t FROM p GROUP BY w),
+two AS (SELECT h, w, count(*) AS b, sum(target::INT) AS t FROM p GROUP BY h, w),
+ctx AS (SELECT h, count(*) AS b, sum(target::INT) AS t FROM p GROUP BY h),
+n AS (SELECT count(*) AS b, sum(target::INT) AS t, (SELECT count(*) + 2 FROM v) AS size FROM p),
+s AS (
+  SELECT p.doc_id, (one.t + 0.5) / (n.t + 0.5 * n.size) AS t1, (one.b + 0.5) / (n.b + 0.5 * n.size) AS b1, two.t AS t2, two.b AS b2, ctx.t AS t0, ctx.b AS b0
+  FROM p JOIN one ON p.w = one.w JOIN two ON p.h = two.h AND p.w = two.w JOIN ctx ON p.h = ctx.h CROSS JOIN n),
+l AS (
+  SELECT doc_id, count(*) AS n, avg(-ln(CASE WHEN t0 > 0 THEN 0.7 * t2 / t0 + 0.3 * t1 ELSE t1 END)) AS t, avg(-ln(0.7 * b2 / b0 + 0.3 * b1)) AS b FROM s GROUP BY doc_id)
+SELECT t.doc_id, coalesce(l.n, 0)::BIGINT AS n_tokens, round(l.t, 6) AS loss_target, round(l.b, 6) AS loss_background, round(l.t - l.b, 6) + 0.0 AS score
+FROM t LEFT JOIN l ON t.doc_id = l.doc_id
+"""

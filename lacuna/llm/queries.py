@@ -18,8 +18,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled as of good quality; background: all documents."""
-    return lm.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").filter("quality = 1"))
+    """Target: the documents labelled as of good quality; background: all documents. Rounded to 6 places."""
+    out = lm.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").filter("quality = 1"))
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
 
 
 def op2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_pivots": pivots.ORACLE, "op4_mix": mixing.ORACLE, "op8_cells": cells.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_lm": lm.ORACLE,
+    "op2_pivots": pivots.ORACLE,
+    "op4_mix": mixing.ORACLE,
+    "op5_partenum": partenum.ORACLE,
+    "op6_suffixes": suffixes.ORACLE,
+    "op8_cells": cells.ORACLE,
+}
