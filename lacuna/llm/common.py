@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, the only separator of words in the contracts.
 SPACE = rb"\x20\x09-\x0D"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is staged: shuffle files go once it is written, not when the driver collects
+#: garbage, and Python gets rows in batches that stay small where they hold whole texts.
+STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,12 +38,14 @@ def staged(df: DataFrame, name: str, share: int = 1) -> DataFrame:
         df = df.coalesce(max(6, partitions(df.sparkSession) // share))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # shuffle files go when the table is written, not when the driver collects garbage
+    before = {k: spark.conf.get(k, None) for k in STAGING}
+    for k, v in STAGING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

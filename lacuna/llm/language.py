@@ -92,7 +92,10 @@ class Vectors:
         weights = np.zeros((len(counted), len(grams)), np.float32)
         text = np.repeat(np.arange(len(counted)), [len(g) for g, _ in counted])
         weights[text, which] = np.concatenate([c for _, c in counted])
-        return (weights @ self.of(grams).astype(np.float32)).astype(np.float64)
+        out = np.zeros((len(counted), DIMENSIONS))
+        for lo in range(0, len(grams), 2048):
+            out += weights[:, lo : lo + 2048] @ self.of(grams[lo : lo + 2048]).astype(np.float32)
+        return out
 
 
 def remainder(doc_id: Column) -> Column:

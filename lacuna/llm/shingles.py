@@ -9,7 +9,7 @@ import numpy as np
 from lacuna.llm.common import mix64
 
 #: Bytes of text handled at once; words in a shingle.
-BLOCK_BYTES, WORDS = 2_000_000, 5
+BLOCK_BYTES, WORDS = 1_000_000, 5
 
 _rng = np.random.default_rng(20260202)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,7 +26,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base to the powers 0 to n at least, modulo 2**64."""
     if base not in _powers or len(_powers[base]) <= n:
-        steps = np.full(max(n + 1, BLOCK_BYTES * 2), base, np.uint64)
+        steps = np.full(max(n + 1, BLOCK_BYTES * 5 // 4), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps)
         if len(_powers[base]) > 8 * BLOCK_BYTES:  # a very long text: not kept
