@@ -439,15 +439,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM t),
-x AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM w),
-m AS (SELECT x, min(doc_id) AS m FROM x GROUP BY x HAVING min(doc_id) < max(doc_id)),
-f AS (SELECT doc_id, i FROM x JOIN m ON x.x = m.x WHERE doc_id > m),
-b AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM t),
-c AS (SELECT b.doc_id, b.i, substr(b.h, 2 * b.i + 1, 2) AS y, coalesce(b.i - f.i < 50, false) AS gone FROM b ASOF LEFT JOIN f ON b.doc_id = f.doc_id AND b.i >= f.i),
+WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
+b AS (SELECT doc_id, unnest(l) AS y, unnest(range(0, len(l))) AS i FROM t),
+x AS (SELECT doc_id, i, y, CASE WHEN count(*) OVER w = 50 THEN string_agg(y, '') OVER w END AS x FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT doc_id, i, y, x IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY x) AS starts FROM x),
+c AS (SELECT doc_id, i, y, max(starts::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
 d AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
-e AS (SELECT doc_id, sum(gone::INT) AS n_removed, sum(opens::INT) AS n_spans, coalesce(string_agg(y, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM d GROUP BY doc_id)
-SELECT t.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM t LEFT JOIN e ON t.doc_id = e.doc_id
+e AS (SELECT doc_id, count(*) AS n, sum(gone::INT) AS n_removed, sum(opens::INT) AS n_spans, coalesce(string_agg(y, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM d GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents LEFT JOIN e ON documents.doc_id = e.doc_id
 """
