@@ -72,3 +72,22 @@ def rolls(df: DataFrame, s: Series, symbol: str, price: str, same_contract: str)
     """One row a change of contract: gap in days, raw and same-contract log return and their difference, the basis."""
     raw = df.withColumn("from_symbol", s.lag(symbol)).withColumn("gap", s.gap_days()).withColumn("raw_return", s.log_change(price)).withColumn("rolled", s.changed(symbol))
     return raw.filter("rolled").select(*s.by, s.at, "from_symbol", F.col(symbol).alias("to_symbol"), "gap", "raw_return", F.col(same_contract).alias("same_contract_return"), (F.col("raw_return") - F.col(same_contract)).alias("basis"))
+
+
+def roll_identity(df: DataFrame, raw: str, same_contract: str, basis: str, rolled: str) -> DataFrame:
+    """Changes of contract, those with a basis, and the largest error of raw = same contract + basis there."""
+    error = F.abs(F.col(raw) - F.col(same_contract) - F.col(basis))
+    return df.filter(F.col(rolled)).agg(F.count("*").alias("rolls"), F.count(basis).alias("with_basis"), F.max(error).alias("largest_error"))
+
+
+def nearby_returns(df: DataFrame, by: Sequence[str], ret: str, rolled: str) -> DataFrame:
+    """Spread of returns on days with and without a change of contract."""
+    on = F.col(rolled)
+    return df.groupBy(*by).agg(F.count(F.when(on, F.col(ret))).alias("roll_days"), F.stddev_samp(F.when(on, F.col(ret))).alias("roll_sd"), F.stddev_samp(F.when(~on, F.col(ret))).alias("other_sd"), F.max(F.abs(ret)).alias("largest"))
+
+
+def panel_document(df: DataFrame, s: Series, match: str, usable: str, gap: int) -> DataFrame:
+    """One row a series: rows, dates, matches, usable rows, and its gaps of more than so many days as an array."""
+    gaps = s.gaps(df, gap).groupBy(*s.by).agg(F.array_sort(F.collect_list(F.struct("from", "to", "days"))).alias("gaps"))
+    counts = df.groupBy(*s.by).agg(F.count("*").alias("rows"), F.min(s.at).alias("first"), F.max(s.at).alias("last"), F.count(match).alias("matched"), counted(F.col(usable)).alias("usable"))
+    return counts.join(gaps, list(s.by), "left")

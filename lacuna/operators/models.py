@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -145,6 +145,41 @@ def walk_forward(rows: DataFrame, by: Sequence[str], at: str, origins: str, s: S
     return rows.select(*by, at, "end", "ret", "direction", origins, *features).groupBy(*by).applyInPandas(run, schema)
 
 
+def live_rows(panel: DataFrame, targets: DataFrame, by: Sequence[str], at: str) -> DataFrame:
+    """targets with the latest row of each series of the panel as the only origin; what it will do is unknown."""
+    last = panel.groupBy(*by).agg(F.max(at).alias(at))
+    known = [c for c in targets.columns if c in panel.columns]
+    live = panel.join(last, [*by, at]).select(*known).withColumn("origin", F.lit(True))
+    return targets.withColumn("origin", F.lit(False)).unionByName(live, allowMissingColumns=True)
+
+
+def incremental(rows: DataFrame, by: Sequence[str], at: str, origins: str, base: Settings, added: Settings) -> DataFrame:
+    """Errors of a model without and with further features on the same origins; gain is what they save."""
+    keys = [*by, at]
+    a = walk_forward(rows, by, at, origins, base).select(*keys, "actual", F.col("predicted").alias("base"))
+    b = walk_forward(rows, by, at, origins, added).select(*keys, F.col("predicted").alias("added"))
+    both = a.join(b, keys)
+    return both.withColumn("gain", F.abs(F.col("actual") - F.col("base")) - F.abs(F.col("actual") - F.col("added")))
+
+
+@dataclass(frozen=True)
+class Factor:
+    """An external series: how often it comes, how good it is, when it counts as stale."""
+
+    name: str
+    frequency: str
+    quality: str
+    causal: bool
+    least_train: int
+    most_age: int
+    horizons: tuple[int, ...]
+
+
+def registry(spark: SparkSession, factors: Sequence[Factor]) -> DataFrame:
+    """The factors as a small table, to join settings to results."""
+    return spark.createDataFrame([(f.name, f.frequency, f.quality, f.causal, f.least_train, f.most_age, list(f.horizons)) for f in factors], "factor string, frequency string, quality string, causal boolean, least_train int, most_age int, horizons array<int>")
+
+
 # -- gates
 
 
@@ -171,6 +206,32 @@ def gated_call(df: DataFrame, p: str, predicted: str, half: str, price: str, hor
     return df.withColumn("reasons", why).withColumn("call", F.when(why != "", "NO CALL").when(up, "UP / HOLD").otherwise("DOWN / SELL"))
 
 
+def evidence_gate(df: DataFrame, price: str, predicted: str, half: str, horizon: Column, n: int = 20, carry: float = 30.0, tick: float = 100.0) -> DataFrame:
+    """Decision on a live forecast: all reasons against a call, in order, or the call.
+
+    Wants columns past_n, nonoverlap_n, past_skill, ci_low, worst_third, worst_phase, adjusted_p, age, most_age and the
+    last probabilities p_down and p_up.
+    """
+    low, high = F.col(price) * F.expm1(F.col(predicted) - F.col(half)), F.col(price) * F.expm1(F.col(predicted) + F.col(half))
+    up, down = holds(low > carry * horizon), holds(high < -tick)
+    c = F.col
+    tests = [
+        (c("past_n") < n, "too few results"),
+        (c("nonoverlap_n") < n, "too few results without overlap"),
+        (~holds(c("past_skill") > 0), "no past skill"),
+        (~holds(c("ci_low") > 0), "interval of the skill holds 0"),
+        (~holds(c("worst_third") > 0), "a third of the past without skill"),
+        (~holds(c("worst_phase") >= 0), "a phase without skill"),
+        (~holds(c("adjusted_p") <= 0.05), "no better than the best of chance"),
+        (~holds(c("age") <= c("most_age")), "inputs are stale"),
+        (~(up | down), "interval within the hurdles"),
+        (up & ~holds(c("p_up") >= 0.5), "classes do not agree"),
+        (down & ~holds(c("p_down") >= 0.5), "classes do not agree"),
+    ]
+    why = reasons(tests)
+    return df.withColumn("reasons", why).withColumn("decision", F.when(why != "", "NO CALL").when(up, "UP / HOLD").otherwise("DOWN / SELL"))
+
+
 def rule_gate(n: str = "nonoverlap_n", low: str = "ci_low", worst: str = "worst_phase", p: str = "adjusted_p", hit: str = "economic_hit_rate") -> Column:
     return holds((F.col(n) >= 20) & (F.col(low) > 0) & (F.col(worst) >= 0) & (F.col(p) <= 0.05) & (F.col(hit) > 0.5))
 

@@ -58,6 +58,16 @@ def block_interval(rows: DataFrame, by: Sequence[str], x: str, reps: int, block:
     return known.select(*by, "n", "mean", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("ci_low", "ci_high", "se", "p_one_sided")])
 
 
+def block_correlation(rows: DataFrame, by: Sequence[str], x: str, y: str, reps: int, block: Column | int, seed: int) -> DataFrame:
+    """Pearson's r of pairs with its 95 % interval from block replicates; pairs are drawn together."""
+    sums = {"__x": F.col(x), "__y": F.col(y), "__xx": F.col(x) ** 2, "__yy": F.col(y) ** 2, "__xy": F.col(x) * F.col(y)}
+    means = block_means(rows.withColumns(sums), by, list(sums), reps, block, seed)
+    vx, vy = F.col("__xx") - F.col("__x") ** 2, F.col("__yy") - F.col("__y") ** 2
+    r = F.when((vx > 1e-15) & (vy > 1e-15), (F.col("__xy") - F.col("__x") * F.col("__y")) / F.sqrt(vx * vy))
+    spread = means.withColumn("__r", r).groupBy(*by).agg(F.percentile("__r", 0.025).alias("ci_low"), F.percentile("__r", 0.975).alias("ci_high"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).join(spread, list(by))
+
+
 def shifted(rows: DataFrame, by: Sequence[str], x: str, y: str, shifts: Sequence[int]) -> DataFrame:
     """Correlation of x with y moved round by each shift: (by, shift, r). One join of rows by place."""
     moved = rows.withColumn("shift", F.explode(F.array(*[F.lit(s).cast("long") for s in shifts]))).withColumn("j", F.pmod(F.col("i") + F.col("shift"), F.col("n")))

@@ -83,6 +83,42 @@ def gated_calls(spark, sf_dir):
     return models.gated_call(skilled, "probabilities", "predicted", "half_band", "price", F.col("horizon")).drop("probabilities")
 
 
+def live_forecasts(spark, sf_dir):
+    """Forecasts at the last quote of each series from what had matured by then; no SQL form."""
+    panel = daily(spark, sf_dir).select("series", "d", "price", "n")
+    panel = panel.withColumns({"f1": S.calendar_change("price", 7), "f2": S.z("price", 20), "f3": F.col("n").cast("double")})
+    t = _features(spark, sf_dir).drop("origin").filter("horizon = 30")
+    rows = models.live_rows(panel, t, ["series"], "d")
+    return models.walk_forward(rows, ["series"], "d", "origin", SETTINGS)
+
+
+def live_decisions(spark, sf_dir):
+    """The evidence gate on live forecasts; no SQL form."""
+    live = live_forecasts(spark, sf_dir).select("series", "d", "predicted", "half_band", "train_n", F.element_at("probabilities", 1).alias("p_down"), F.element_at("probabilities", -1).alias("p_up"))
+    past = walk_forward(spark, sf_dir).withColumn("gain", F.abs("actual") - F.abs(F.col("actual") - F.col("predicted")))
+    past = past.groupBy("series").agg(F.count("gain").alias("past_n"), F.avg("gain").alias("past_skill"), (F.avg("gain") - 2 * F.stddev_samp("gain") / F.sqrt(F.count("gain"))).alias("ci_low"), F.min("gain").alias("worst_third"))
+    facts = live.join(past, "series").withColumns({"nonoverlap_n": F.col("past_n"), "worst_phase": F.col("worst_third"), "adjusted_p": F.lit(1.0), "age": F.lit(0), "most_age": F.lit(4), "price": F.lit(38500.0)})
+    return models.evidence_gate(facts, "price", "predicted", "half_band", F.lit(30)).select("series", "d", "predicted", "decision", "reasons")
+
+
+def incremental_gain(spark, sf_dir):
+    """What a second and third feature save on the same origins; no SQL form."""
+    base = models.Settings(features=("f1",), alphas=(10.0,))
+    added = models.Settings(features=("f1", "f2", "f3"), alphas=(10.0,))
+    out = models.incremental(_features(spark, sf_dir), ["series", "horizon"], "d", "origin", base, added)
+    return out.groupBy("series").agg(F.count("*").alias("n"), r6(F.avg("gain")).alias("gain"))
+
+
+def factor_registry(spark, sf_dir):
+    """Priorities as external factors with their settings, joined to what they cover."""
+    from lacuna.session import table
+
+    names = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    made = models.registry(spark, [models.Factor(n, "daily" if i % 2 else "weekly", "observed", i < 4, 10 + i, (4, 10)[i % 2], (15, 30)) for i, n in enumerate(names)])
+    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("factor")).agg(F.count("*").alias("rows"))
+    return made.join(seen, "factor", "left").select("factor", "frequency", "causal", big("least_train").alias("least_train"), big("most_age").alias("most_age"), "rows")
+
+
 def version_deltas(spark, sf_dir):
     """Skill of two penalties on the same origins."""
     t = targets(spark, sf_dir)
@@ -139,6 +175,11 @@ o AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ok DESC, score D
 a AS (SELECT series, count(*) AS n, avg(s) - 2 * stddev_samp(s) / sqrt(count(*)) AS lo, avg((s > 0)::INT) AS hit FROM t GROUP BY series)
 SELECT a.series, n AS nonoverlap_n, round(lo, 6) + 0.0 AS ci_low, round(worst, 6) + 0.0 AS worst_phase, round(hit, 6) AS economic_hit_rate, n >= 20 AND lo > 0 AND worst >= 0 AND hit > 0.5 AS passes FROM a JOIN w ON a.series = w.series"""),
     "version_deltas": (version_deltas, f"WITH {TARGETS}, a AS ({RIDGE.format(a=1)}), b AS ({RIDGE.format(a=100)}) SELECT a.series, count(*) AS n, round(avg(abs(b.ret - b.predicted) - abs(a.ret - a.predicted)), 8) + 0.0 AS delta FROM a JOIN b ON a.series = b.series AND a.d = b.d GROUP BY a.series"),
+    "factor_registry": (factor_registry, """WITH f AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS factor, unnest(range(0, 5)) AS i), o AS (SELECT o_orderpriority AS factor, count(*) AS rows FROM orders GROUP BY 1)
+SELECT f.factor, CASE WHEN i % 2 = 1 THEN 'daily' ELSE 'weekly' END AS frequency, i < 4 AS causal, 10 + i AS least_train, CASE WHEN i % 2 = 0 THEN 4 ELSE 10 END::BIGINT AS most_age, rows FROM f LEFT JOIN o ON f.factor = o.factor"""),
+    "live_forecasts": (live_forecasts, None),
+    "live_decisions": (live_decisions, None),
+    "incremental_gain": (incremental_gain, None),
     "walk_forward": (walk_forward, None),
     "gated_calls": (gated_calls, None),
     "stress_grid": (stress_grid, None),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import casts
 from lacuna.functions.labels import clip, hinge, interaction, nearly, reasons, vessel
 from lacuna.operators import audits
+from lacuna.operators.selection import first_use, grid, quality_tier, usable_quote
 from lacuna.plans.base import DAILY, HOLED, S, Plan, big, daily, holed, r6
 from lacuna.session import table
 from lacuna.sources import readers
@@ -113,6 +114,41 @@ def user_sessions(spark, sf_dir):
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"), r6(F.sum("total")).alias("total"), F.max("n").alias("longest"))
 
 
+def nearby_audit(spark, sf_dir):
+    d = daily(spark, sf_dir).withColumns({"ret": S.log_change("price"), "rolled": S.changed("n")})
+    out = audits.nearby_returns(d.filter("ret IS NOT NULL"), ["series"], "ret", "rolled")
+    return out.select("series", "roll_days", *[r6(c).alias(c) for c in ("roll_sd", "other_sd", "largest")])
+
+
+def roll_table(spark, sf_dir):
+    d = daily(spark, sf_dir).withColumn("symbol", F.concat(F.lit("c"), F.month("d").cast("string"))).withColumn("same", F.when(S.gap_days() <= 2, S.log_change("close")))
+    out = audits.rolls(d, S, "symbol", "price", "same")
+    return out.select("series", "d", "from_symbol", "to_symbol", big("gap").alias("gap"), r6("raw_return").alias("raw_return"), r6("basis").alias("basis"))
+
+
+def panel_documents(spark, sf_dir):
+    d = holed(spark, sf_dir).withColumn("ok", F.col("n") >= 2)
+    out = audits.panel_document(d, S, "x", "ok", 4)
+    return out.select("series", "rows", "first", "last", "matched", "usable", F.size("gaps").cast("long").alias("gaps"), F.aggregate("gaps", F.lit(0).cast("long"), lambda a, g: F.greatest(a, g["days"].cast("long"))).alias("longest"))
+
+
+def quality_tiers(spark, sf_dir):
+    d = daily(spark, sf_dir).withColumn("busy", (F.col("n") >= 2).cast("double"))
+    d = d.withColumns({"share": S.mean("busy", 20, 15), "mid": S.median("n", 20, 15), "age": S.gap_days()})
+    tier = quality_tier(F.col("age"), F.col("share"), F.col("mid") * 250, F.col("n") * 50)
+    return d.groupBy("series", tier.alias("tier")).agg(F.count("*").alias("rows"), F.sum(usable_quote(F.col("age"), F.col("n") - 1, F.col("price")).cast("long")).alias("usable"))
+
+
+def first_uses(spark, sf_dir):
+    """A value carried forward counts at its first row only."""
+    d = holed(spark, sf_dir).withColumn("seen", F.last(F.when(F.col("x").isNotNull(), F.col("d")), ignorenulls=True).over(S.so_far))
+    return first_use(d, ["series"], "seen", "d").filter("n > 1").select("series", "d", "seen")
+
+
+def parameter_grid(spark, sf_dir):
+    return grid(spark, look=[20, 40], cut=[0.75, 1.0, 1.25], horizon=[15, 30])
+
+
 W = "PARTITION BY series ORDER BY d"
 PLANS: dict[str, Plan] = {
     "bar_audit": (bar_audit, f"""WITH {DAILY}, b AS (SELECT series, open, close, low, CASE WHEN n % 3 = 0 THEN close ELSE high END AS high FROM daily)
@@ -144,4 +180,16 @@ SELECT page_id, len(h) AS items, array_to_string(list_transform(h, lambda x: tri
     "event_props": (event_props, """WITH e AS (SELECT event_id, props::JSON AS j FROM events WHERE event_id < 500), k AS (SELECT event_id, j, unnest(json_keys(j)) AS key FROM e) SELECT event_id, key, json_extract_string(j, '$."' || key || '"') AS value FROM k"""),
     "user_sessions": (user_sessions, """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g),
 c AS (SELECT user_id, s, count(*) AS n, sum(value) AS total FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, round(sum(total), 6) AS total, max(n) AS longest FROM c GROUP BY user_id"""),
+    "nearby_audit": (nearby_audit, f"""WITH {DAILY}, r AS (SELECT series, ln(price / lag(price) OVER ({W})) AS r, coalesce(n <> lag(n) OVER ({W}), false) AS rolled FROM daily)
+SELECT series, count(CASE WHEN rolled THEN r END) AS roll_days, round(stddev_samp(CASE WHEN rolled THEN r END), 6) AS roll_sd, round(stddev_samp(CASE WHEN NOT rolled THEN r END), 6) AS other_sd, round(max(abs(r)), 6) AS largest FROM r WHERE r IS NOT NULL GROUP BY series"""),
+    "roll_table": (roll_table, f"""WITH {DAILY}, r AS (SELECT series, d, 'c' || month(d) AS symbol, price, lag(d) OVER ({W}) AS d0, lag(price) OVER ({W}) AS p0, CASE WHEN d - lag(d) OVER ({W}) <= 2 THEN ln(close / lag(close) OVER ({W})) END AS same FROM daily)
+SELECT series, d, 'c' || month(d0) AS from_symbol, symbol AS to_symbol, (d - d0)::BIGINT AS gap, round(ln(price / p0), 6) + 0.0 AS raw_return, round(ln(price / p0) - same, 6) + 0.0 AS basis FROM r WHERE d0 IS NOT NULL AND month(d0) <> month(d)"""),
+    "panel_documents": (panel_documents, f"""WITH {HOLED}, g AS (SELECT *, d - lag(d) OVER ({W}) AS gap FROM holed)
+SELECT series, count(*) AS rows, min(d) AS first, max(d) AS last, count(x) AS matched, sum((n >= 2)::INT)::BIGINT AS usable, nullif(count(CASE WHEN gap > 4 THEN 1 END), 0)::BIGINT AS gaps, max(CASE WHEN gap > 4 THEN gap END)::BIGINT AS longest FROM g GROUP BY series"""),
+    "quality_tiers": (quality_tiers, f"""WITH {DAILY}, w AS (SELECT *, d - lag(d) OVER ({W}) AS age, CASE WHEN count(*) OVER a >= 15 THEN avg((n >= 2)::INT) OVER a END AS share, CASE WHEN count(*) OVER a >= 15 THEN median(n) OVER a END AS mid FROM daily WINDOW a AS ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CASE WHEN share >= 0.5 AND mid * 250 >= 500 AND age <= 3 THEN 'primary' WHEN n * 50 >= 100 AND age <= 4 THEN 'curve_mark' ELSE 'none' END AS tier FROM w)
+SELECT series, tier, count(*) AS rows, sum(coalesce(age <= 4 AND n > 1 AND price > 0, false)::INT)::BIGINT AS usable FROM t GROUP BY ALL"""),
+    "first_uses": (first_uses, f"""WITH {HOLED}, s AS (SELECT series, d, n, last_value(CASE WHEN x IS NOT NULL THEN d END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM holed),
+k AS (SELECT *, row_number() OVER (PARTITION BY series, seen ORDER BY d) AS k FROM s WHERE seen IS NOT NULL) SELECT series, d, seen FROM k WHERE k = 1 AND n > 1"""),
+    "parameter_grid": (parameter_grid, "SELECT look, cut, horizon FROM (SELECT unnest([20, 40])::INT AS look) CROSS JOIN (SELECT unnest([0.75, 1.0, 1.25])::DOUBLE AS cut) CROSS JOIN (SELECT unnest([15, 30])::INT AS horizon)"),
 }

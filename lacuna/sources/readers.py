@@ -89,6 +89,21 @@ def between_markers(rows: DataFrame, start: str, stop: str, value: int) -> DataF
     return kept.groupBy("source_file", first.alias("period")).agg(F.max_by(F.col("cells")[value], F.col("i")).alias("value"), F.max("i").alias("i"))
 
 
+def month_rows(rows: DataFrame, value: int = 1, pattern: str = r"^20\d{2}-\d{2}$") -> DataFrame:
+    """Every row whose first cell is a month, wherever it stands: period, month_end and value."""
+    first = F.coalesce(F.col("cells")[0], F.lit(""))
+    return rows.filter(first.rlike(pattern)).select("source_file", "i", first.alias("period"), F.last_day(F.try_to_date(F.concat(first, F.lit("-01")), "yyyy-MM-dd")).alias("month_end"), F.col("cells")[value].alias("value"))
+
+
+def two_grains(rows: DataFrame, value: int = 1) -> DataFrame:
+    """A sheet with rows of days and rows of months as one month-end series; of a month the last row of the sheet wins."""
+    first = F.coalesce(F.col("cells")[0], F.lit(""))
+    days = rows.filter(first.rlike(r"^\d{4}-\d{2}-\d{2}$")).select("source_file", "i", F.try_to_date(first, "yyyy-MM-dd").alias("d"), F.col("cells")[value].alias("value"))
+    weekly = days.groupBy("source_file", F.last_day("d").alias("month_end")).agg(F.max_by("value", "d").alias("value"), F.max("i").alias("i"))
+    months = month_rows(rows, value).select("source_file", "month_end", "value", "i")
+    return weekly.unionByName(months).groupBy("source_file", "month_end").agg(F.max_by("value", "i").alias("value"))
+
+
 def sections(rows: DataFrame, banners: dict[str, str]) -> DataFrame:
     """Adds section: the name of the banner (text a first cell contains) seen last above the row."""
     from pyspark.sql.window import Window
