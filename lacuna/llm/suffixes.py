@@ -298,9 +298,11 @@ def _deal(keys: np.ndarray, n: int) -> np.ndarray:
 def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept, the bytes of text that stay (binary).
 
-    whole_characters: what is left in kept of characters that were cut goes too.
+    whole_characters: what is left in kept of characters that were cut goes too. Columns of docs
+    with these names are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "__block")
     n = partitions(spark)
     blocks = 4 * n
     names = docs.columns
@@ -433,9 +435,11 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with what stays of each text; bytes of a character that was cut go with it."""
-    out = repeated_removed(docs, whole_characters=True)
+    names = docs.columns
+    other = {c: f"__own_{c}" for c in names if c in ("n_bytes", "n_removed", "n_spans", "kept")}
+    out = repeated_removed(docs.withColumnsRenamed(other), whole_characters=True)
     text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("text", text).select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in names])
 
 
 ORACLE = """

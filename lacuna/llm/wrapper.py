@@ -306,7 +306,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     found = staged(wrappers(pages), "wrappers")
     size = found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
-    mine = pages.select("page_id", "url", "html", host.alias("host"))
+    mine = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     if size <= BROADCAST_BYTES:
         joined = mine.join(F.broadcast(found), "host", "left")
     else:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import types as T
 
-DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("size", T.LongType()), T.StructField("key", T.StringType())])
+DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("size", T.LongType()), T.StructField("key", T.StringType()), T.StructField("kept", T.BooleanType()), T.StructField("component_id", T.LongType())])
 
 WORDS = [a + b for a in "ka to ri mu se lo pe na".split() for b in "ban dor fil gus hem jin kop lat".split()]
 
@@ -30,5 +30,5 @@ def corpus(seed=0):
 
 
 def frame(spark, rows):
-    """The rows as documents with two columns whose names the operators use inside."""
-    return spark.createDataFrame([(d, t, lang, s, None if t is None else len(t), 7, "k") for d, t, lang, s in rows], DOCS)
+    """The rows as documents with columns whose names the operators use inside."""
+    return spark.createDataFrame([(d, t, lang, s, None if t is None else len(t), 7, "k", True, -1) for d, t, lang, s in rows], DOCS)
