@@ -46,15 +46,16 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 SKIPPED = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg object canvas dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|replies|disqus|respond|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|widget|disclaimer|copyright|legal|skip|tags?)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|replies|disqus|respond|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|widget|disclaimer|copyright|legal|skip|tags?)(?=$|[\s_-])",
     re.I,
 )
+HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children", "parent", "noise", "main")
+    __slots__ = ("tag", "mark", "children", "parent", "noise", "named", "head", "main")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
@@ -63,7 +64,10 @@ class Node:
         self.mark = f"{tag}.{'.'.join(sorted(found.get('class', '').split()))}" if found.get("class") else tag
         role = found.get("role", "").lower()
         self.main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
-        self.noise = tag in SKIPPED or role in ROLES or "hidden" in found or bool(names and not self.main and tag not in ("body", "html") and NOISE.search(names))
+        may = bool(names) and not self.main and tag not in ("body", "html")
+        self.noise = tag in SKIPPED or role in ROLES or "hidden" in found
+        self.named = may and bool(NOISE.search(names))  # noise by its name, unless it turns out to frame the page
+        self.head = tag == "header" or may and bool(HEAD.search(names))
 
     def path(self) -> str:
         out, at = [], self
@@ -114,9 +118,18 @@ def parse(source: str) -> Node:
             at = node
     if place < len(source):
         at.children.append(source[place:])
+    for x in nodes(root):
+        if x.named and not frames(x):
+            x.noise = True
     return root
 
 
+def frames(node: Node) -> bool:
+    """Whether a node named like noise holds the article, or a main heading with paragraphs: a layout's name then."""
+    below = [x.tag for x in nodes(node)]
+    return any(x.main for x in nodes(node)) or "h1" in below and below.count("p") >= 3
+
+
 def nodes(top: Node) -> Iterator[Node]:
     stack = [top]
     while stack:
@@ -145,7 +158,7 @@ def content(top: Node, template: frozenset[str] = frozenset(), paths: dict[int,
             continue
         if at is not top and at.noise and not (at.tag == "article"):
             continue
-        if at.tag == "header" and not inside:
+        if at.head and not inside and not frames(at):
             continue
         block = at.tag not in INLINE
         if block:
@@ -166,13 +179,13 @@ def ancestors(node: Node) -> Iterator[Node]:
 
 
 def visible(node: Node) -> bool:
-    return not node.noise and not any(x.noise for x in ancestors(node))
+    return not node.noise and not any(x.noise or x.head and not frames(x) for x in ancestors(node))
 
 
 def region(root: Node, path: str | None) -> Node | None:
     """The node with the page's main text: a marked article, the host's content path, or the densest block."""
     every = list(nodes(root))
-    marked = [x for x in every if x.main and visible(x)]
+    marked = [x for x in every if x.main and visible(x)] or [x for x in every if x.main and not any(y.tag in SKIPPED for y in ancestors(x))]
     for kind in ("article", None):
         found = [x for x in marked if kind is None or x.tag == kind]
         outer = [x for x in found if not any(y in found for y in ancestors(x))]

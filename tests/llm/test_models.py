@@ -178,6 +178,19 @@ def test_pages_without_boilerplate(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<main><article><header class='entry-header'><h1>Title here</h1></header><div class='entry-content'><p>Body one.</p><aside>pull</aside><p>Body two.</p></div><footer>tags</footer></article></main><section class='comment-list'><p>no</p></section>",
+        "<div class='layout with-sidebar'><div class='sidebar'><p>side</p></div><article class=post><h1>Title here</h1><p>Body one.</p><p>Body two.</p></article></div>",
+        "<div class='page-header'><h2>Site</h2></div><div id='content' role='main'><h1>Title here</h1><p>Body one.</p><div class='ad-banner'>buy</div><p>Body two.</p><div id='disqus_thread'>hm</div></div>",
+        "<div class='header'><p>Site name and slogan</p></div><div class='col'><div class='text'><h1>Title here</h1><p>Body one.</p><p>Body two.</p></div></div><div class='related'><p>Read also</p></div>",
+    ],
+)
+def test_layouts(body):
+    assert wrapper.Wrapper(None).extract(PAGE % body) == "Title here Body one. Body two."
+
+
 def test_constant_nodes_are_template():
     pages = [PAGE % f"<div class=main><p>Share this story</p><p>Story number {i}, of which every page of the host has its own.</p></div>" for i in range(6)]
     made = wrapper.Wrapper(wrapper.induce(pages))
