@@ -50,7 +50,7 @@ def test_forward_target_limits(spark):
     assert got[DAY, 5] == (day(5), 1)
     assert got[DAY, 10] == (day(14), 1)  # 10 + 4 days on
     assert got[day(5), 5] == (day(14), 1)  # 9 days on, the last that 5 + 4 allows
-    assert (day(5), 10) not in {k for k in got if got[k][0] == day(20)} or got[day(5), 10] == (day(20), 1)
+    assert (day(5), 10) not in got  # 15 days on is a day too late
     crossing = joins.forward_targets(df, S, "x", [5], 4, gap=8, crossing="segment").collect()
     assert {(r.d, r.end) for r in crossing} == {(DAY, day(5)), (day(14), day(20))}
 
@@ -118,10 +118,8 @@ def test_ridge_sums_match_normal_equations(spark):
     t = spark.createDataFrame([("a", day(i), day(i + 3), float(x[i]), float(y[i])) for i in range(60)], "k string, d date, e date, x double, y double")
     got = models.ridge_one(t, t, ["k"], "d", "e", "x", "y", 10.0, 20).orderBy(F.desc("d")).first()
     a = np.column_stack([np.ones(56), x[:56]])
-    want = np.array([1, x[59]]) @ models.ridge(a - [0, x[:56].mean()], y[:56], 10.0) - 0
     slope = models.ridge(a - [0, x[:56].mean()], y[:56], 10.0)[1]
     assert got.train_n == 56 and got.predicted == pytest.approx(y[:56].mean() + slope * (x[59] - x[:56].mean()))
-    assert want is not None
 
 
 def test_walk_forward_never_trains_on_what_ends_later(spark):
