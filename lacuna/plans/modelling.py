@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lacuna.operators import folds, models, stats
-from lacuna.plans.base import DAILY, TARGETS, S, Plan, big, daily, r6, targets
+from lacuna.plans.base import TARGETS, S, Plan, big, daily, r6, targets
 
 
 def ridge_one(spark, sf_dir):

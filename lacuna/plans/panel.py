@@ -9,11 +9,6 @@ from pyspark.sql.window import Window
 from lacuna.functions.labels import row_mean
 from lacuna.operators.series import ewma_volatility
 from lacuna.plans.base import DAILY, HOLED, S, Plan, big, daily, holed, r6
-from lacuna.session import table
-
-
-def _cols(*names: str):
-    return [F.col(n) for n in names]
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
