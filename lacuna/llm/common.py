@@ -8,8 +8,6 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: ASCII white space, the only separator of words in the contracts.
-SPACE = rb"\x20\x09-\x0D"
 #: While a table is staged: shuffle files go once it is written, not when the driver collects
 #: garbage, and Python gets rows in batches that stay small where they hold whole texts.
 STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
