@@ -44,6 +44,8 @@ def staged(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # with the session's driver
     return spark.read.schema(df.schema).parquet(path)
 
 
