@@ -52,9 +52,9 @@ def sheet_errors(spark, sf_dir):
     return out.select("column", "cell", F.col("count").alias("cells"))
 
 
-def lenient_casts(spark, sf_dir):
+def lenient_casts_all(spark, sf_dir):
     """Numbers, magnitudes, dates, slugs and kinds from text with faults."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 4000")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     raw = F.when(k % 5 == 0, "n/a").when(k % 3 == 0, F.concat(F.format_number("o_totalprice", 2), F.lit("%"))).otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
     size = F.concat((k % 90 + 1).cast("string"), F.element_at(F.array(*map(F.lit, ("", "K", "M", "B"))), (k % 4 + 1).cast("int")))
@@ -63,10 +63,20 @@ def lenient_casts(spark, sf_dir):
     return o.select(k.alias("k"), casts.number(raw).alias("number"), casts.magnitude(size).alias("magnitude"), casts.any_date(date).alias("date"), casts.slug(F.col("o_orderpriority")).alias("slug"), casts.kind(raw).alias("kind"))
 
 
-def contract_codes(spark, sf_dir):
+def lenient_casts(spark, sf_dir):
+    """The first keys only, as in the SQL."""
+    return lenient_casts_all(spark, sf_dir).filter("k < 4000")
+
+
+def contract_codes_all(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("IS7"), F.substring(F.lit("FGHJKMNQUVXZABC"), (F.col("p_partkey") % 15 + 1).cast("int"), F.lit(1)), F.lpad((F.col("p_partkey") % 60).cast("string"), 2, "0")).alias("symbol"))
     c = casts.contract(F.col("symbol"), "IS7")
-    return p.select("p_partkey", "symbol", big(c["month"]).alias("month"), big(c["year"]).alias("year"), big(c["serial"]).alias("serial")).filter("p_partkey <= 500")
+    return p.select("p_partkey", "symbol", big(c["month"]).alias("month"), big(c["year"]).alias("year"), big(c["serial"]).alias("serial"))
+
+
+def contract_codes(spark, sf_dir):
+    """The first keys only, as in the SQL."""
+    return contract_codes_all(spark, sf_dir).filter("p_partkey <= 500")
 
 
 def keyword_classes(spark, sf_dir):
@@ -99,11 +109,15 @@ def page_cells(spark, sf_dir):
     return p.select("page_id", F.size(items).cast("long").alias("items"), F.array_join(F.transform(items, readers.without_tags), "|").alias("texts"))
 
 
-def event_props(spark, sf_dir):
+def event_props_all(spark, sf_dir):
     """Keys and values of the JSON column, through a map."""
-    e = table(spark, sf_dir, "events").filter("event_id < 500")
     m = F.from_json("props", "map<string,string>")
-    return e.select("event_id", F.explode(m).alias("key", "value"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(m).alias("key", "value"))
+
+
+def event_props(spark, sf_dir):
+    """The first ids only, as in the SQL."""
+    return event_props_all(spark, sf_dir).filter("event_id < 500")
 
 
 def user_sessions(spark, sf_dir):
@@ -161,9 +175,11 @@ SELECT series, count(dd) AS compared, sum(coalesce(abs(dd - change) > 1e-9, fals
 SELECT series, count(*) AS rows, count(age) AS matched, min(age) AS least_age, round(median(age), 6) AS median_age, round(quantile_cont(age, 0.95), 6) AS p95_age, max(age) AS largest_age FROM j GROUP BY series"""),
     "age_counts": (age_counts, f"WITH {DAILY}, g AS (SELECT series, date_diff('day', lag(d) OVER ({W}), d) AS gap FROM daily) SELECT series, gap, count(*) AS rows FROM g GROUP BY ALL"),
     "sheet_errors": (sheet_errors, "SELECT 'a' AS \"column\", trim(c) AS cell, count(*) AS cells FROM (SELECT CASE WHEN n_nationkey % 4 = 0 THEN '#REF!' WHEN n_nationkey % 7 = 0 THEN ' #N/A' ELSE n_name END AS c FROM nation) WHERE trim(c) IN ('#REF!', '#N/A') GROUP BY ALL"),
+    "lenient_casts_all": (lenient_casts_all, None),
     "lenient_casts": (lenient_casts, """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS p, o_orderdate::DATE AS d, o_orderpriority AS s FROM orders WHERE o_orderkey < 4000)
 SELECT k, CASE WHEN k % 5 <> 0 THEN round(p, 2) END AS number, ((k % 90 + 1) * [1, 1000, 1000000, 1000000000][k % 4 + 1])::DOUBLE AS magnitude, CASE WHEN k % 4 < 3 THEN d END AS date, lower(regexp_replace(regexp_replace(s, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
  CASE WHEN k % 5 = 0 OR k % 3 = 0 THEN 'text' ELSE 'float' END AS kind FROM o"""),
+    "contract_codes_all": (contract_codes_all, None),
     "contract_codes": (contract_codes, """WITH p AS (SELECT p_partkey, substr('FGHJKMNQUVXZABC', (p_partkey % 15 + 1)::INT, 1) AS l, (p_partkey % 60)::BIGINT AS y FROM part WHERE p_partkey <= 500)
 SELECT p_partkey, 'IS7' || l || lpad(y::VARCHAR, 2, '0') AS symbol, nullif(instr('FGHJKMNQUVXZ', l), 0) AS month, CASE WHEN instr('FGHJKMNQUVXZ', l) > 0 THEN 2000 + y END AS year, CASE WHEN instr('FGHJKMNQUVXZ', l) > 0 THEN (2000 + y) * 12 + instr('FGHJKMNQUVXZ', l) - 1 END AS serial FROM p"""),
     "keyword_classes": (keyword_classes, """WITH t AS (SELECT upper(CASE WHEN p_partkey % 3 = 0 THEN p_type || ' bulk carrier' WHEN p_partkey % 5 = 0 THEN 'Lng Tanker' ELSE p_type END) AS t FROM part),
@@ -177,6 +193,7 @@ SELECT series, why, count(*) AS rows, sum((abs(high - low) <= 1e-9)::INT)::BIGIN
     "page_links": (page_links, """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages) SELECT page_id, unnest(range(0, len(h))) AS place, unnest(h) AS href FROM l"""),
     "page_cells": (page_cells, r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS h FROM pages)
 SELECT page_id, len(h) AS items, array_to_string(list_transform(h, lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), '|') AS texts FROM l"""),
+    "event_props_all": (event_props_all, None),
     "event_props": (event_props, """WITH e AS (SELECT event_id, props::JSON AS j FROM events WHERE event_id < 500), k AS (SELECT event_id, j, unnest(json_keys(j)) AS key FROM e) SELECT event_id, key, json_extract_string(j, '$."' || key || '"') AS value FROM k"""),
     "user_sessions": (user_sessions, """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g),
 c AS (SELECT user_id, s, count(*) AS n, sum(value) AS total FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, round(sum(total), 6) AS total, max(n) AS longest FROM c GROUP BY user_id"""),

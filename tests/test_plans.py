@@ -28,3 +28,32 @@ def test_matches_sql(spark, duck, name):
 def test_runs(spark, name):
     run, _ = PLANS[name]
     assert run(spark, SF).columns
+
+
+def test_text_queries_over_whole_tables(spark, tmp_path):
+    """Rows behind the prefix that the SQL of these queries looks at, by brute force."""
+    import datetime as dt
+    import json
+
+    import pandas as pd
+
+    days = [dt.datetime(1995, 1, 1) + dt.timedelta(i) for i in range(40)]
+    keys = [*range(20), *range(3990, 4010)]
+    pd.DataFrame({"o_orderkey": keys, "o_totalprice": [1000.25 + k for k in keys], "o_orderdate": days, "o_orderpriority": ["4-NOT SPECIFIED"] * 40}).to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    pd.DataFrame({"p_partkey": range(480, 530)}).to_parquet(tmp_path / "part.parquet")
+    pd.DataFrame({"event_id": range(490, 510), "props": [json.dumps({"k": i, "z": "y"}) for i in range(20)]}).to_parquet(tmp_path / "events.parquet")
+    casts = {r.k: r for r in PLANS["lenient_casts_all"][0](spark, str(tmp_path)).collect()}
+    assert sorted(casts) == keys
+    for k, day in zip(keys, days, strict=True):
+        got = casts[k]
+        assert got.number == (None if k % 5 == 0 else 1000.25 + k) and got.magnitude == (k % 90 + 1) * 1000 ** (k % 4)
+        assert got.date == (day.date() if k % 4 < 3 else None) and got.slug == "4_not_specified" and got.kind == ("text" if k % 5 == 0 or k % 3 == 0 else "float")
+    codes = {r.p_partkey: r for r in PLANS["contract_codes_all"][0](spark, str(tmp_path)).collect()}
+    assert sorted(codes) == list(range(480, 530))
+    for k, got in codes.items():
+        letter, year = "FGHJKMNQUVXZABC"[k % 15], 2000 + k % 60
+        month = "FGHJKMNQUVXZ".find(letter) + 1
+        assert got.symbol == f"IS7{letter}{k % 60:02}"
+        assert (got.month, got.year, got.serial) == ((month, year, year * 12 + month - 1) if month else (None, None, None))
+    props = sorted(tuple(r) for r in PLANS["event_props_all"][0](spark, str(tmp_path)).collect())
+    assert props == sorted(x for i in range(20) for x in ((490 + i, "k", str(i)), (490 + i, "z", "y")))
