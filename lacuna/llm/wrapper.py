@@ -1,11 +1,10 @@
 """Main text of pages by wrapper induction.
 
-Up to SAMPLE distinct pages of a host, those with the smallest hashes, are parsed and
-their DOM trees aligned by simple tree matching. Nodes whose text stays the same in the
-aligned pages are template; the others are slots, and the region that holds most slot
-text outside menus, forms and the like becomes the host's content path. The wrapper
-(content path and template texts) is then applied to every page of the host. Choosing
-the sample is bounded per host and task, so a host may have any share of the pages.
+All pages of a host are parsed and their nodes aligned by path. A node is template where
+its text is the same in most articles that have its path, among the pages of one layout or
+of the host; copies of an article count once. The wrapper (template texts by layout) is
+then applied to every page of the host. Only counts are gathered by host, summed up before
+they meet, so a host may have any share of the pages.
 Wrappers are broadcast where their measured size allows and joined by host and salt else.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of its own
@@ -16,21 +15,23 @@ url and html are not read.
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import html
 import json
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host that its wrapper is learnt from; bytes of wrappers that are broadcast at most.
-SAMPLE, BROADCAST_BYTES, SALTS = 12, 8_000_000, 64
+from lacuna.llm.common import staged
+
+#: Bytes of wrappers that are broadcast at most.
+BROADCAST_BYTES, SALTS = 8_000_000, 64
+#: Articles that a template text is in at least, and their share of those with its path; characters of a text that tells articles apart.
+LEAST, SHARE, LONG = 3, 0.8, 40
 #: Pairs of children that one step of the matching compares at most (beyond, in order from both ends).
 CELLS = 10_000
 
@@ -50,6 +51,7 @@ NOISE = re.compile(
     re.I,
 )
 HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.I)
+DIVIDING = frozenset("body div section main article header footer nav aside table form".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
@@ -146,7 +148,7 @@ def own_text(node: Node) -> str:
     return squeezed("\0".join(x for x in node.children if isinstance(x, str)).replace("\0", " "))
 
 
-def content(top: Node, template: frozenset[str] = frozenset(), paths: dict[int, str] | None = None) -> str:
+def content(top: Node, template: Set[int] = frozenset()) -> str:
     """Text below top without noise and template texts."""
     out: list[str] = []
     stack: list = [(top, False)]
@@ -163,7 +165,7 @@ def content(top: Node, template: frozenset[str] = frozenset(), paths: dict[int,
         block = at.tag not in INLINE
         if block:
             out.append(" ")
-        if template and f"{at.path()}|{own_text(at)}" in template:
+        if template and digest(f"{at.path()}|{own_text(at)}") in template:
             children = [x for x in at.children if isinstance(x, Node)]
         else:
             children = at.children
@@ -250,72 +252,121 @@ def matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return pairs
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def wrapped(n: int) -> int:
+    """n as a signed number of 64 bits."""
+    return (n + 2**63) % 2**64 - 2**63
+
+
+def layout(root: Node) -> int:
+    """A hash of the paths of the elements that divide the page."""
+    found, stack = set(), [(root, root.mark)]
+    while stack:
+        at, path = stack.pop()
+        if at.tag in DIVIDING:
+            found.add(path)
+        stack += [(x, f"{path}>{x.mark}") for x in at.children if isinstance(x, Node)]
+    return digest("\n".join(sorted(found)))
+
+
+def gathered(source: str) -> Iterator[tuple[int, int, int, int]]:
+    """(layout, path, node, article) of every text a page may show; node 0 stands for the path itself.
+
+    A node is its path and own text. Two pages are the same article for a text where the
+    other long texts of their regions are equal: menus, dates and adverts make no new article.
+    """
+    root = parse(source)
+    kind, found, stack = layout(root), [], [(root, root.mark)]
+    while stack:
+        at, path = stack.pop()
+        if at.noise and at.tag != "article":
+            continue
+        text = own_text(at)
+        if text:
+            found.append((at, path, text))
+        stack += [(x, f"{path}>{x.mark}") for x in at.children if isinstance(x, Node)]
+    top = region(root, None)
+    inside = set(nodes(top)) if top is not None else set()
+    texts = {t for at, _, t in found if at in inside}
+    telling = {t: digest(t) for t in texts if len(t) >= LONG} or {t: digest(t) for t in texts}
+    whole = sum(telling.values())
+    for _, path, text in found:
+        place = digest(path)
+        yield kind, place, 0, wrapped(whole)
+        yield kind, place, digest(f"{path}|{text}"), wrapped(whole - telling.get(text, 0))
+
+
+def constant(same: int, there: int) -> bool:
+    """Whether a text in so many articles, of those that have its path, is template."""
+    return same >= LEAST and same >= SHARE * there
+
+
 def induce(pages: list[str]) -> str:
-    """The wrapper of a host, as JSON: content path and template texts."""
-    trees = [parse(x) for x in dict.fromkeys(pages)]
-    aligned: Counter[Node] = Counter()
-    same: Counter[Node] = Counter()
-    first = trees[0]
-    texts = {x: own_text(x) for x in nodes(first)}
-    for tree in trees[1:]:
-        for x, y in matching(first, tree):
-            aligned[x] += 1
-            same[x] += texts[x] == own_text(y)
-    constant = {x for x, n in aligned.items() if n >= 3 and texts[x] and same[x] >= 0.8 * n}
-    votes: Counter[str] = Counter()
-    for tree in trees:
-        found = region(tree, None)
-        if found is not None and found.parent is not None:
-            votes[found.path()] += 1
-    slots: Counter[str] = Counter({p: n for p, n in votes.items()})
-    best = max(slots, key=lambda p: (slots[p], p)) if slots else None
-    return json.dumps({"path": best, "template": sorted({f"{x.path()}|{texts[x]}" for x in constant})})
+    """The wrapper of a few pages, as JSON (see wrappers)."""
+    rows = {x for page in dict.fromkeys(pages) for x in gathered(page)}
+    template = set()
+    for kinds in (True, False):
+        counts = Counter(x[:3] for x in {(x[0] if kinds else 0, *x[1:]) for x in rows})
+        template |= {(kind, node) for (kind, place, node), n in counts.items() if node and constant(n, counts[kind, place, 0])}
+    return json.dumps({"path": None, "template": sorted(template)})
 
 
 class Wrapper:
     def __init__(self, text: str | None):
         spec = json.loads(text) if text else {"path": None, "template": []}
-        self.path, self.template = spec["path"], frozenset(spec["template"])
+        self.path = spec["path"]
+        self.template: dict[int, set[int]] = {}
+        for kind, node in spec["template"]:
+            self.template.setdefault(kind, set()).add(node)
 
     def extract(self, source: str | None) -> str:
         if not source:
             return ""
-        top = region(parse(source), self.path)
-        return content(top, self.template) if top is not None else ""
+        root = parse(source)
+        top = region(root, self.path)
+        template = self.template.get(0, set())
+        if len(self.template) > (0 in self.template):
+            template = template | self.template.get(layout(root), set())
+        return content(top, template) if top is not None else ""
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper, one row a host."""
+    """host and wrapper, one row a host that has a template.
+
+    template lists (layout, node); layout 0 holds for the whole host. Texts are counted
+    over all pages of a host, once an article; only counts meet, so no task holds a host.
+    """
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
 
-    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list] = {}
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["host", "kind", "place", "node", "article"]
         for batch in batches:
-            for name, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = source.as_py()
-                rank = zlib.crc32(text.encode())
-                heap = kept.setdefault(name, [])
-                if len(heap) < SAMPLE or -rank > heap[0][0]:
-                    if not any(r == -rank for r, _ in heap):
-                        (heapq.heappush if len(heap) < SAMPLE else heapq.heapreplace)(heap, (-rank, text))
-        for name, heap in kept.items():
-            yield pa.RecordBatch.from_pydict({"host": [name] * len(heap), "rank": pa.array([-r for r, _ in heap], pa.int64()), "html": [t for _, t in heap]})
-
-    def learn(found: pd.DataFrame) -> pd.DataFrame:
-        best = found.sort_values(["rank", "html"]).head(SAMPLE)
-        return pd.DataFrame({"host": [found["host"].iloc[0]], "wrapper": [induce(best["html"].tolist())]})
-
-    sample = pages.select(host.alias("host"), F.col("html")).filter("html IS NOT NULL AND html != ''").mapInArrow(few, "host string, rank long, html string")
-    return sample.groupBy("host").applyInPandas(learn, "host string, wrapper string")
+            rows = {(name, *x) for name, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in gathered(source.as_py())}
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(x, pa.int64()) for x in columns[1:]]], names)
+
+    read = pages.select(host.alias("host"), F.col("html")).filter("html IS NOT NULL AND html != ''")
+    rows = staged(read.mapInArrow(gather, "host string, kind long, place long, node long, article long").distinct(), "texts")
+    spread = rows.unionByName(rows.withColumn("kind", F.lit(0).cast("long")).distinct())
+    counts = spread.groupBy("host", "kind", "place", "node").agg(F.count("*").alias("same")).filter(F.col("same") >= LEAST)
+    counts = staged(counts, "counts", 8)
+    there = counts.filter("node = 0").select("host", "kind", "place", F.col("same").alias("there"))
+    fixed = counts.filter("node != 0").join(there, ["host", "kind", "place"]).filter(F.col("same") >= SHARE * F.col("there")).select("host", "kind", "node")
+    everywhere = fixed.filter("kind = 0").select("host", "node")
+    fixed = fixed.filter("kind = 0").unionByName(fixed.filter("kind != 0").join(everywhere, ["host", "node"], "left_anti"))
+    template = F.sort_array(F.collect_list(F.array("kind", "node"))).alias("template")
+    return fixed.groupBy("host").agg(template).select("host", F.to_json(F.struct(F.lit(None).cast("string").alias("path"), "template"), {"ignoreNullFields": "false"}).alias("wrapper"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    from lacuna.llm.common import staged
-
     found = staged(wrappers(pages), "wrappers")
     size = found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))

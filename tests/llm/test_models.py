@@ -210,3 +210,14 @@ def test_whole_test_table_of_pages(spark):
     want = {r.page_id: " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*)</article>", r.html, re.S)[1])).split()) for r in pages.collect()}
     assert {r.page_id: r.text for r in wrapper.extracted(pages).collect()} == want
     assert wrapper.extracted(pages.limit(0)).count() == 0
+
+
+def test_template_of_every_layout_and_no_article_of_copies(spark):
+    """One host: 40 pages of a layout, 8 of another one with its own boilerplate, and 30 copies of one article under other dates."""
+    story = lambda i: f"<p>Story {i} begins, as none of the others does, in the town of number {i}.</p><p>Story {i} goes on here and then it ends.</p>"
+    rows = [(i, "http://h.example/", PAGE % f"<div class=a><p>Printed on plain paper</p>{story(i)}</div>") for i in range(40)]
+    rows += [(i, "http://h.example/", PAGE % f"<div class=b><div class=c><p>From our own desk</p>{story(i)}</div></div>") for i in range(40, 48)]
+    rows += [(i, "http://k.example/", PAGE % f"<div class=a><p>May {i}</p>{story(7)}</div>") for i in range(50, 80)]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: f"Story {i} begins, as none of the others does, in the town of number {i}. Story {i} goes on here and then it ends."
+    assert got == {i: text(i) if i < 48 else f"May {i} {text(7)}" for i, _, _ in rows}
