@@ -2,9 +2,12 @@
 
 All pages of a host are parsed and their nodes aligned by path. A node is template where
 its text is the same in most articles that have its path, among the pages of one layout or
-of the host; copies of an article count once. The wrapper (template texts by layout) is
-then applied to every page of the host. Only counts are gathered by host, summed up before
-they meet, so a host may have any share of the pages.
+of the host; copies of an article count once. The other texts are slots, and the block
+with most slot text outside menus, forms and the like becomes the host's content path.
+The wrapper (content path and template texts by layout) is then applied to every page of
+the host; an element that the page itself marks as its article goes before the path, and
+the densest block is taken where neither is there. Only counts are gathered by host,
+summed up before they meet, so a host may have any share of the pages.
 Wrappers are broadcast where their measured size allows and joined by host and salt else.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of its own
@@ -184,6 +187,15 @@ def visible(node: Node) -> bool:
     return not node.noise and not any(x.noise or x.head and not frames(x) for x in ancestors(node))
 
 
+def boxed(x: Node) -> tuple[Node | None, int]:
+    """The block whose text x holds, and how many characters of it without links; 0 where x holds none that shows."""
+    if x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "li", "td", "div", "section") and x.parent is not None and visible(x):
+        text, linked = len(own_text(x)), sum(len(content(y)) for y in nodes(x) if y.tag == "a")
+        if text > linked:
+            return x.parent if x.tag not in ("div", "section") else x, text - linked
+    return None, 0
+
+
 def region(root: Node, path: str | None) -> Node | None:
     """The node with the page's main text: a marked article, the host's content path, or the densest block."""
     every = list(nodes(root))
@@ -195,14 +207,15 @@ def region(root: Node, path: str | None) -> Node | None:
             return outer[0] if len(outer) == 1 else max(outer, key=lambda x: len(content(x)))
     if path:
         found = [x for x in every if x.tag == path.rpartition(">")[2].partition(".")[0] and x.path() == path]
+        if len({x.parent for x in found}) == 1 < len(found) and (found[0].tag == "section" or "." in found[0].mark):
+            return found[0].parent  # parts of one text
         if found:
             return max(found, key=lambda x: len(content(x)))
     score: Counter[Node] = Counter()
     for x in every:
-        if x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "li", "td", "div", "section") and x.parent is not None and visible(x):
-            text, linked = len(own_text(x)), sum(len(content(y)) for y in nodes(x) if y.tag == "a")
-            if text > linked:
-                score[x.parent if x.tag not in ("div", "section") else x] += text - linked
+        box, size = boxed(x)
+        if size:
+            score[box] += size
     if score:
         return max(score, key=lambda x: score[x])
     return next((x for x in every if x.tag == "body"), root)
@@ -272,8 +285,10 @@ def layout(root: Node) -> int:
     return digest("\n".join(sorted(found)))
 
 
-def gathered(source: str) -> Iterator[tuple[int, int, int, int]]:
-    """(layout, path, node, article) of every text a page may show; node 0 stands for the path itself.
+def gathered(source: str) -> Iterator[tuple[int, int, int, int, int, int, str | None]]:
+    """(layout, path, node, article, block, size, name) of every text a page may show.
+
+    Node 0 stands for the path itself, node 1 with its name for the path as a block of texts.
 
     A node is its path and own text. Two pages are the same article for a text where the
     other long texts of their regions are equal: menus, dates and adverts make no new article.
@@ -293,10 +308,13 @@ def gathered(source: str) -> Iterator[tuple[int, int, int, int]]:
     texts = {t for at, _, t in found if at in inside}
     telling = {t: digest(t) for t in texts if len(t) >= LONG} or {t: digest(t) for t in texts}
     whole = sum(telling.values())
-    for _, path, text in found:
-        place = digest(path)
-        yield kind, place, 0, wrapped(whole)
-        yield kind, place, digest(f"{path}|{text}"), wrapped(whole - telling.get(text, 0))
+    for at, path, text in found:
+        place, (box, size) = digest(path), boxed(at)
+        name = path if box is at else path.rpartition(">")[0]
+        yield kind, place, 0, wrapped(whole), 0, 0, None
+        yield kind, place, digest(f"{path}|{text}"), wrapped(whole - telling.get(text, 0)), digest(name) if size else 0, size, None
+        if size:
+            yield kind, digest(name), 1, wrapped(whole), 0, 0, name
 
 
 def constant(same: int, there: int) -> bool:
@@ -307,11 +325,14 @@ def constant(same: int, there: int) -> bool:
 def induce(pages: list[str]) -> str:
     """The wrapper of a few pages, as JSON (see wrappers)."""
     rows = {x for page in dict.fromkeys(pages) for x in gathered(page)}
-    template = set()
+    template, slots = set(), Counter()
     for kinds in (True, False):
-        counts = Counter(x[:3] for x in {(x[0] if kinds else 0, *x[1:]) for x in rows})
-        template |= {(kind, node) for (kind, place, node), n in counts.items() if node and constant(n, counts[kind, place, 0])}
-    return json.dumps({"path": None, "template": sorted(template)})
+        counts = Counter(x[:3] for x in {(x[0] if kinds else 0, *x[1:4]) for x in rows})
+        template |= {(kind, node) for (kind, place, node), n in counts.items() if node not in (0, 1) and constant(n, counts[kind, place, 0])}
+    for box, _, size in {(x[4], x[2], x[5]) for x in rows if x[5] and counts[0, x[1], x[2]] < LEAST}:
+        slots[box] += size
+    scores = [(slots[x[1]] * counts[0, x[1], 1] ** 2, x[6]) for x in rows if x[2] == 1 and slots[x[1]] and counts[0, x[1], 1] >= LEAST]
+    return json.dumps({"path": max(scores)[1] if scores else None, "template": sorted(template)})
 
 
 class Wrapper:
@@ -337,32 +358,46 @@ HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper, one row a host that has a template.
+    """host and wrapper, one row a host that has a template or a content path.
 
-    template lists (layout, node); layout 0 holds for the whole host. Texts are counted
-    over all pages of a host, once an article; only counts meet, so no task holds a host.
+    template lists (layout, node); layout 0 holds for the whole host. The content path is
+    the block with the most slot text (in fewer than LEAST articles, a text counted once)
+    times the square of the articles that have it, so that what only some pages have,
+    such as comments, weighs less. Texts are counted over all pages of a host, once an
+    article; only counts meet, so no task holds a host.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
+    schema = "host string, kind long, place long, node long, article long, box long, size long, name string"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "kind", "place", "node", "article"]
+        names = ["host", "kind", "place", "node", "article", "box", "size", "name"]
         for batch in batches:
             rows = {(name, *x) for name, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in gathered(source.as_py())}
             if rows:
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(x, pa.int64()) for x in columns[1:]]], names)
+                text = {0, 7}
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i in text else pa.int64()) for i, x in enumerate(columns)], names)
 
     read = pages.select(host.alias("host"), F.col("html")).filter("html IS NOT NULL AND html != ''")
-    rows = staged(read.mapInArrow(gather, "host string, kind long, place long, node long, article long").distinct(), "texts")
-    spread = rows.unionByName(rows.withColumn("kind", F.lit(0).cast("long")).distinct())
-    counts = spread.groupBy("host", "kind", "place", "node").agg(F.count("*").alias("same")).filter(F.col("same") >= LEAST)
-    counts = staged(counts, "counts", 8)
-    there = counts.filter("node = 0").select("host", "kind", "place", F.col("same").alias("there"))
-    fixed = counts.filter("node != 0").join(there, ["host", "kind", "place"]).filter(F.col("same") >= SHARE * F.col("there")).select("host", "kind", "node")
+    rows = staged(read.mapInArrow(gather, schema).distinct(), "texts")
+    # an article may have a node more than once where its links or surroundings differ
+    keys = ["host", "kind", "place", "node"]
+    spread = rows.unionByName(rows.withColumn("kind", F.lit(0).cast("long")))
+    once = spread.groupBy(*keys, "article").agg(F.max(F.struct("size", "box")).alias("most"), F.max("name").alias("name"))
+    counts = once.groupBy(*keys).agg(F.count("*").alias("same"), F.max("most").alias("most"), F.max("name").alias("name"))
+    often = staged(counts.filter(F.col("same") >= LEAST).drop("most"), "often", 8)
+    there = often.filter("node = 0").select("host", "kind", "place", F.col("same").alias("there"))
+    fixed = often.filter("node NOT IN (0, 1)").join(there, ["host", "kind", "place"]).filter(F.col("same") >= SHARE * F.col("there")).select("host", "kind", "node")
     everywhere = fixed.filter("kind = 0").select("host", "node")
     fixed = fixed.filter("kind = 0").unionByName(fixed.filter("kind != 0").join(everywhere, ["host", "node"], "left_anti"))
-    template = F.sort_array(F.collect_list(F.array("kind", "node"))).alias("template")
-    return fixed.groupBy("host").agg(template).select("host", F.to_json(F.struct(F.lit(None).cast("string").alias("path"), "template"), {"ignoreNullFields": "false"}).alias("wrapper"))
+    template = fixed.groupBy("host").agg(F.sort_array(F.collect_list(F.array("kind", "node"))).alias("template"))
+    slots = counts.filter("kind = 0 AND node NOT IN (0, 1)").filter((F.col("same") < LEAST) & (F.col("most.size") > 0))
+    slots = slots.groupBy("host", F.col("most.box").alias("place")).agg(F.sum("most.size").alias("chars"))
+    blocks = often.filter("kind = 0 AND node = 1").join(slots, ["host", "place"])
+    score = F.struct((F.col("chars").cast("double") * F.col("same") * F.col("same")).alias("score"), "name")
+    best = blocks.groupBy("host").agg(F.max(score)["name"].alias("path"))
+    made = F.struct("path", F.coalesce("template", F.array().cast("array<array<bigint>>")).alias("template"))
+    return template.join(best, "host", "full").select("host", F.to_json(made, {"ignoreNullFields": "false"}).alias("wrapper"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

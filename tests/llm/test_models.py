@@ -1,4 +1,5 @@
 import collections
+import json
 import math
 
 import numpy as np
@@ -221,3 +222,14 @@ def test_template_of_every_layout_and_no_article_of_copies(spark):
     got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     text = lambda i: f"Story {i} begins, as none of the others does, in the town of number {i}. Story {i} goes on here and then it ends."
     assert got == {i: text(i) if i < 48 else f"May {i} {text(7)}" for i, _, _ in rows}
+
+
+def test_content_path_is_the_block_of_slot_text(spark):
+    """Neither comments that some pages have nor teasers that come again are the text, however long they are."""
+    story = lambda i: f"Story {i} is short, but no other page of the host has it, and so it is the text of page {i}."
+    talk = lambda i: "".join(f"<li>Reader {i}.{k} has a lot to say about what page {i} told, and says it at some length.</li>" for k in range(5))
+    teasers = "".join(f"<p>Elsewhere, number {k}: the same few lines stand on half of all pages, and they are as long as they can be.</p>" for k in range(4))
+    page = lambda i: PAGE % f"<div class=a><p>{story(i)}</p></div><ul class=voices>{talk(i) if i % 3 == 0 else ''}</ul><div class=more>{teasers if i % 2 else ''}</div>"
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(12)], "page_id long, url string, html string")).collect()}
+    assert got == {i: story(i) for i in range(12)}
+    assert json.loads(wrapper.induce([page(i) for i in range(12)]))["path"].endswith("body>div.a")
