@@ -68,18 +68,20 @@ def block_correlation(rows: DataFrame, by: Sequence[str], x: str, y: str, reps:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).join(spread, list(by))
 
 
-def shifted(rows: DataFrame, by: Sequence[str], x: str, y: str, shifts: Sequence[int]) -> DataFrame:
-    """Correlation of x with y moved round by each shift: (by, shift, r). One join of rows by place."""
-    moved = rows.withColumn("shift", F.explode(F.array(*[F.lit(s).cast("long") for s in shifts]))).withColumn("j", F.pmod(F.col("i") + F.col("shift"), F.col("n")))
+def shifted(rows: DataFrame, by: Sequence[str], x: str, y: str, shifts: Sequence[int] | None = None) -> DataFrame:
+    """Correlation of x with y moved round by each shift, 1 to n - 1 where none are given: (by, shift, r). One join of rows by place."""
+    each = F.when(F.col("n") > 1, F.sequence(F.lit(1).cast("long"), F.col("n") - 1)) if shifts is None else F.array(*[F.lit(s).cast("long") for s in shifts])
+    moved = rows.withColumn("shift", F.explode(each)).withColumn("j", F.pmod(F.col("i") + F.col("shift"), F.col("n")))
     other = rows.select(*by, F.col("i").alias("j"), F.col(y).alias("__y"))
     return moved.join(other, [*by, "j"]).groupBy(*by, "shift").agg(F.corr(x, "__y").alias("r"))
 
 
-def shift_p(rows: DataFrame, by: Sequence[str], x: str, y: str, shifts: Sequence[int]) -> DataFrame:
-    """Two-sided p of a correlation against its circular shifts."""
-    real = rows.groupBy(*by).agg(F.corr(x, y).alias("r0"))
-    null = shifted(rows, by, x, y, shifts).join(real, list(by))
-    return null.groupBy(*by).agg(F.first("r0").alias("r"), ((1 + F.sum((F.abs("r") >= F.abs("r0") - EQUAL).cast("int"))) / (len(shifts) + 1)).alias("p"))
+def shift_p(rows: DataFrame, by: Sequence[str], x: str, y: str, shifts: Sequence[int] | None = None) -> DataFrame:
+    """Two-sided p of a correlation against its circular shifts; all of them where none are given."""
+    real = rows.groupBy(*by).agg(F.corr(x, y).alias("r0"), (F.max("n") if shifts is None else F.lit(len(shifts) + 1)).alias("__all"))
+    null = real.join(shifted(rows, by, x, y, shifts), list(by), "left" if shifts is None else "inner")
+    beaten = F.coalesce(F.sum((F.abs("r") >= F.abs("r0") - EQUAL).cast("int")), F.lit(0)) if shifts is None else F.sum((F.abs("r") >= F.abs("r0") - EQUAL).cast("int"))
+    return null.groupBy(*by).agg(F.first("r0").alias("r"), ((1 + beaten) / F.first("__all")).alias("p"))
 
 
 def max_null(rows: DataFrame, family: Sequence[str], xs: Sequence[str], reps: int, block: Column | int, seed: int) -> DataFrame:

@@ -144,6 +144,12 @@ def circular_shift(spark, sf_dir):
     return out.select("series", r6("r").alias("r"), r6("p").alias("p"))
 
 
+def circular_shift_all(spark, sf_dir):
+    """Every shift from 1 to n - 1."""
+    rows = resample.numbered(targets(spark, sf_dir).filter("f IS NOT NULL"), ["series"], ["d"])
+    return resample.shift_p(rows, ["series"], "f", "ret").select("series", r6("r").alias("r"), r6("p").alias("p"))
+
+
 def max_null(spark, sf_dir):
     t = targets(spark, sf_dir).filter("f IS NOT NULL")
     t = t.withColumns({"a": F.abs("ret") - F.abs(F.col("ret") - 0.01), "b": F.abs("ret") - F.abs(F.col("ret") + F.col("f") * 0.1), "c": -F.col("f") * F.col("ret")})
@@ -221,6 +227,7 @@ SELECT series, round(avg(((y = -1)::INT - m) ** 2 + ((y = 0)::INT - z) ** 2 + ((
 SELECT t.series, count(*) AS n, round(avg(ret), 6) + 0.0 AS mean, round(any_value(lo), 6) + 0.0 AS ci_low, round(any_value(hi), 6) + 0.0 AS ci_high, round(any_value(se), 6) AS se, round(any_value(p), 6)::DOUBLE AS p_one_sided FROM targets t JOIN o ON t.series = o.series GROUP BY t.series"""),
     "block_correlation": (block_correlation, f"""WITH {TARGETS}, t AS (SELECT series, d, f, ret FROM targets WHERE f IS NOT NULL), {BOOT.format(t="t", w=W, seed=11, reps=200, b=21, avgs="corr(f, ret) AS x")}, o AS (SELECT series, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM m GROUP BY series)
 SELECT t.series, count(*) AS n, round(corr(f, ret), 6) + 0.0 AS r, round(any_value(lo), 6) + 0.0 AS ci_low, round(any_value(hi), 6) + 0.0 AS ci_high FROM t JOIN o ON t.series = o.series GROUP BY t.series"""),
+    "circular_shift_all": (circular_shift_all, None),
     "circular_shift": (circular_shift, f"""WITH {TARGETS}, t AS (SELECT series, f, ret, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM targets WHERE f IS NOT NULL), s AS (SELECT unnest(range(10, 410, 10)) AS s),
 c AS (SELECT a.series, s, corr(a.f, b.ret) AS r FROM t a CROSS JOIN s JOIN t b ON a.series = b.series AND b.i = (a.i + s) % a.n GROUP BY ALL), o AS (SELECT series, corr(f, ret) AS r0 FROM t GROUP BY series)
 SELECT o.series, round(any_value(r0), 6) + 0.0 AS r, round((1 + sum((abs(r) >= abs(r0) - 1e-9)::INT)) / 41.0, 6)::DOUBLE AS p FROM c JOIN o ON c.series = o.series GROUP BY o.series"""),

@@ -233,3 +233,15 @@ def test_streams(spark):
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     bought, failed = batch.filter("event_type = 'purchase'"), batch.filter("event_type = 'error'")
     assert events.available(bought, failed, "user_id", "2 days").filter("released >= ts").count() == 0
+
+
+def test_circular_p_takes_every_shift(spark):
+    rng = np.random.default_rng(5)
+    x, n = rng.normal(size=70), 70
+    y = x * 0.2 + rng.normal(size=70)
+    rows = spark.createDataFrame([("a", i, n, float(x[i]), float(y[i])) for i in range(n)] + [("b", 0, 1, 1.0, 2.0)], "k string, i long, n long, x double, y double")
+    r = np.corrcoef(x, y)[0, 1]
+    want = (1 + sum(abs(np.corrcoef(x, np.roll(y, -s))[0, 1]) >= abs(r) for s in range(1, n))) / n
+    assert resample.shifted(rows, ["k"], "x", "y").count() == n - 1
+    got = {a.k: a for a in resample.shift_p(rows, ["k"], "x", "y").collect()}
+    assert got["a"].r == pytest.approx(r) and got["a"].p == pytest.approx(want) and got["b"].p == 1
