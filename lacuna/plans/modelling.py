@@ -127,7 +127,7 @@ def version_deltas(spark, sf_dir):
 
 
 def stress_grid(spark, sf_dir):
-    """Look-back, threshold and horizon of a past-z signal: called, entered and greedy rows and their mean return."""
+    """Look-back, threshold and horizon of a past-z signal: called and greedy rows and their mean return."""
     from lacuna.operators.joins import forward_targets
 
     d = S.segments(daily(spark, sf_dir).select("series", "d", "price"), 6)
