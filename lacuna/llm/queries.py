@@ -37,7 +37,7 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.joined(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return partenum.joined(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,26 @@ def test_join_equals_brute_force(spark, monkeypatch, few, together):
     assert got == {d: (len(s), want[d]) for d, s in sets}
 
 
+@pytest.mark.parametrize("few,together", [(3, 2000), (1, 7)])
+def test_link_counts_equal_brute_force(spark, monkeypatch, few, together):
+    """Near copies of one text, whose signatures make stars: leaves link with leaves."""
+    monkeypatch.setattr(partenum, "FEW", few)
+    monkeypatch.setattr(partenum, "TOGETHER", together)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    rows = corpus(1)
+    for d in range(5000, 5040):
+        mine = list(words)
+        for k in range(rng.randrange(5)):
+            mine[rng.randrange(120)] = f"x{d}y{k}"
+        rows.append((d, " ".join(mine), None, None))
+    rows += [(d + 1000, t, None, None) for d, t, *_ in rows[-4:]]
+    sets = [(d, shingle_set(t)) for d, t, *_ in rows]
+    want = {d: sum(jaccard(s, z) for e, z in sets if e != d) for d, s in sets}
+    got = {r.doc_id: r.n_links for r in partenum.joined(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_join_of_chains_near_the_threshold(spark):
     """Neighbours of a chain link, its ends do not: components have to follow links."""
     rng = random.Random(4)
