@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 from lacuna.llm.common import mix64
 
-#: Bytes of text handled at once; words in a shingle.
-BLOCK_BYTES, WORDS = 1_000_000, 5
+#: Bytes of text handled at once; words in a shingle; bytes of a word beyond which a library hashes it.
+BLOCK_BYTES, WORDS, LONG = 1_000_000, 5, 64
 
 _rng = np.random.default_rng(20260202)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LETTER = mix64(_rng.integers(1, 1 << 63, 256, dtype=np.uint64))[_LOWER]
 _PLACE = mix64(_rng.integers(1, 1 << 63, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15  # any odd number
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base to the powers 0 to n at least, modulo 2**64."""
-    if base not in _powers or len(_powers[base]) <= n:
-        steps = np.full(max(n + 1, BLOCK_BYTES * 5 // 4), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps)
-        if len(_powers[base]) > 8 * BLOCK_BYTES:  # a very long text: not kept
-            return _powers.pop(base)
-    return _powers[base]
+_START, _STEP = mix64(_rng.integers(1, 1 << 63, 2, dtype=np.uint64)) | np.uint64(1)
+_KEPT_BITS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def blocks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
@@ -48,13 +34,27 @@ def blocks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
 
 
 def word_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, A-Z in lower case, and the number of words of each text."""
-    raw = np.frombuffer(b" ".join([b"", *block, b""]), np.uint8)
-    space = _IS_SPACE[raw]
+    """Hash of each word, A-Z in lower case, and the number of words of each text.
+
+    A word's hash starts from its length and takes in eight bytes after the other, each step
+    a bijection of what was taken in, so that no arithmetic of the letters makes two words
+    alike; words over LONG bytes get a cryptographic hash.
+    """
+    raw = b"".join([b" ", b" ".join(block).lower(), b" " * 8])  # of bytes: ASCII letters only
+    space = _IS_SPACE[np.frombuffer(raw, np.uint8)]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    total = np.cumsum(_LETTER[raw] * powers(_BASE, len(raw))[: len(raw)])
-    words = mix64((total[ends - 1] - total[starts - 1]) * powers(_INVERSE, len(raw))[starts])
+    size = np.flatnonzero(~space[:-1] & space[1:]) + 1 - starts
+    eights = np.ndarray(len(raw) - 7, np.dtype("<u8"), raw, 0, (1,))  # those that start at each byte
+    words = mix64(size.astype(np.uint64) * _STEP + _START)
+    some, most = np.arange(len(starts)), int(size.max(initial=0))
+    for at in range(0, min(most, LONG), 8):
+        if at:
+            some = some[size[some] > at]
+        part = eights[starts[some] + at] & _KEPT_BITS[np.minimum(size[some] - at, 8)]
+        words[some] = mix64((words[some] ^ part) * _STEP + _START)
+    if most > LONG:
+        for i in np.flatnonzero(size > LONG).tolist():
+            words[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : starts[i] + size[i]], digest_size=8).digest(), "little")
     stops = np.cumsum([len(x) + 1 for x in block]) + 1
     upto = np.searchsorted(starts, stops)
     return words, np.diff(upto, prepend=0)

@@ -47,6 +47,32 @@ def test_shingle_sets_equal_python():
                 assert len(np.intersect1d(parts[i], parts[j])) == len(a & b)
 
 
+def thue_morse(n):
+    """Two words of 2**n letters that every polynomial in an odd base takes for one, modulo 2**64, from n = 11 on."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes_tell_words_apart():
+    words = [w for n in range(1, 13) for w in thue_morse(n)] + [c * n for c in "ab0" for n in (1, 7, 8, 9, 16, 63, 64, 65, 200)] + ["a\0", "\0a", "\0", "\0\0", "é", "É", "e", "x" * 8 + "y", "y" + "x" * 8]
+    words = list(dict.fromkeys(words))
+    hashes, n = shingles.word_hashes([w.encode() for w in words])
+    assert n.tolist() == [1] * len(words) and len(set(hashes.tolist())) == len(words)
+    again, n = shingles.word_hashes([(" \t\x0b".join(words)).upper().replace("É", "É").encode(), b"", b" \n"])
+    lower = [w.encode().lower() for w in words]
+    known = dict(zip(lower, hashes.tolist(), strict=True))
+    assert n.tolist() == [len(words), 0, 0]
+    assert all(h == known[w.upper().encode().lower()] for w, h in zip(words, again.tolist(), strict=True) if w != "é")
+
+
+def test_join_does_not_take_such_words_for_one(spark):
+    a, b = thue_morse(11)
+    rows = [(1, f"{a} p q r s", None, None), (2, f"{b} p q r s", None, None)]
+    assert {(r.doc_id, r.n_links, r.component_id) for r in partenum.joined(frame(spark, rows)).collect()} == {(1, 0, 1), (2, 0, 2)}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(3, 300), st.floats(0, 1), st.integers(0, 2**32))
 def test_linked_sets_share_a_signature(n, share, seed):
