@@ -44,9 +44,12 @@ def test_top_k_equals_brute_force(spark, monkeypatch, dense):
 
 def test_near_duplicate_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cells, "CELL_ROWS", 20)
-    monkeypatch.setattr(cells, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(cells, "LEAST_ROWS", 5)
+    monkeypatch.setattr(cells, "TILE_ROWS", 7)
+    monkeypatch.setattr(cells, "VISITORS", 4)
     monkeypatch.setattr(cells, "SLICE", 3)
     rows, df = vectors(spark)
+    df = df.selectExpr("*", "label AS dim", "label AS rep", "label AS x", "label AS n", "label AS good")  # names that the operator uses inside
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cells.grouped(df).collect()}
     fine = {v: np.array(np.float32(x), float) for v, x, _ in rows if v is not None and usable(x) and any(x)}
     linked = {v: {u for u, y in fine.items() if u != v and len(y) == len(x) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95} for v, x in fine.items()}
@@ -60,6 +63,58 @@ def test_near_duplicate_vectors_equal_brute_force(spark, monkeypatch):
         assert got[v] == (len(linked.get(v, ())), min(seen), v == min(seen))
 
 
+def near(x, threshold=0.95):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= threshold
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def in_subspace(seed, n, inner, dim=64):
+    """Vectors of many dimensions that lie in a few, as those of real texts nearly do."""
+    rng = np.random.default_rng(seed)
+    axes = np.linalg.qr(rng.normal(size=(dim, inner)))[0]
+    return (rng.normal(size=(n, inner)) @ axes.T).astype("f4")
+
+
+@pytest.mark.parametrize("inner", [3, 4, 6, 8, 64])
+def test_no_link_across_cells_is_lost(inner):
+    """With the shipped constants: every linked pair meets in a tile, in one only, and few dimensions rule most tiles out."""
+    x = in_subspace(inner, 6000, inner).astype(float)
+    linked = near(x)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = cells.fit(x, 24)
+    home = np.argmax(x @ c.T, axis=1)
+    tiles = cells.Tiles(c, np.bincount(home, minlength=24), np.array([(x @ c.T)[home == i, i].min() for i in range(24)]), 0.95)
+    assert len(tiles.starts) > 4
+    at_home, visits = np.zeros((len(x), len(tiles.starts)), bool), np.zeros((len(x), len(tiles.starts)), bool)
+    for row, tile, own in tiles.of(x, np.arange(len(x))):
+        at_home[row[own], tile[own]], visits[row[~own], tile[~own]] = True, True
+    assert (at_home.sum(1) == 1).all()
+    a, b = np.nonzero(np.triu(linked))
+    met = (at_home[a] & (at_home | visits)[b]).sum(1) + (visits[a] & at_home[b]).sum(1)
+    assert (met == 1).all() and (len(a) > 500 or inner > 8)
+    if inner <= 4:
+        assert visits.sum() < 0.6 * len(x) * (len(tiles.starts) - 1) / 2
+
+
+def test_links_of_many_cells_equal_brute_force(spark):
+    """64 dimensions, few of them used, and a third of all rows near copies; shipped constants."""
+    x = np.concatenate([in_subspace(1, 2500, 4), in_subspace(2, 1000, 6)])
+    x = np.concatenate([x, x[7] + np.random.default_rng(3).normal(size=(1500, 64)).astype("f4") * 0.01, x[:40]])
+    linked = near(x.astype(float))
+    got = {r.vec_id: r for r in cells.grouped(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)).collect()}
+    assert [got[i].n_links for i in range(len(x))] == linked.sum(1).tolist()
+    least = np.arange(len(x))
+    while True:
+        now = np.minimum(least, np.where(linked, least, len(x)).min(1))
+        if (now == least).all():
+            break
+        least = now
+    assert [got[i].component_id for i in range(len(x))] == least.tolist()
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
 def test_vectors_of_empty_tables(spark):
     none = spark.createDataFrame([], VECTORS)
     assert pivots.top_k(none, F.col("vec_id") % 20 == 0).count() == 0
