@@ -2,15 +2,20 @@
 
 Vectors x become floor(64 * x). For pivots p the distance of a query q and a candidate x
 is at least max |d(q, p) - d(x, p)|, so their inner product (|q|^2 + |x|^2 - d^2) / 2 has
-an upper bound that costs no look at x. In each block of candidates a query evaluates
-them from the largest bound down and stops where the bound falls below its k-th score.
-Where the bounds leave most of a block, its rest is evaluated by one matrix product.
-Queries and candidates meet as packed blocks of fixed size, never row by row.
+an upper bound that costs no look at x. A query evaluates candidates from the largest
+bound down and stops where the bound falls below its k-th score. The maximum is taken over
+a few pivots first; candidates that no query needs any more are spared the others.
+
+Queries and candidates are packed into blocks of bounded size and dealt on a grid: a task
+holds some blocks of each side, and each of them once. A first round over FIRST parts of
+the candidates gives every query a k-th score to start from, so that the second round, over
+all candidates, stops early from its first part on.
 
 Cases: null vectors, vectors with null or non-finite components and null ids take no
 part; vectors meet those of their own length only; a query with fewer than k candidates
 gets them all; ties go to the smaller id; rows that share an id are each other's own, and
-no candidates of it; empty tables give an empty result; other columns are not read.
+no candidates of it; scores are exact integers, those beyond 64 bits become the largest or
+least long; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +31,12 @@ from pyspark.sql.window import Window as W
 
 from lacuna.llm.common import partitions, staged
 
-#: Scale of the components; pivots; vectors they are chosen from; rows of a query and of a candidate block.
-SCALE, PIVOTS, FROM, QUERIES, CANDIDATES, STEP = 64, 16, 2048, 1024, 4096, 256
-#: Queries handled at once; share of candidates within their bounds from which a block is evaluated as a whole.
-TILE, DENSE = 64, 0.2
+#: Scale of the components; pivots, those looked at first, vectors they are chosen from.
+SCALE, PIVOTS, CHEAP, FROM = 64, 64, 8, 4096
+#: Numbers in a block of vectors, rows of a candidate and of a query block at most; blocks of each that a task holds.
+NUMBERS, CANDIDATES, QUERIES, CANDIDATE_BLOCKS, QUERY_BLOCKS = 1 << 18, 4096, 1024, 8, 4
+#: Queries handled at once; candidates a query evaluates at first before it looks at its bound again; parts of the first round.
+TILE, STEP, FIRST = 64, 256, 8
 BLOCK = "dim int, block long, n int, ids binary, vectors binary, far binary"
 
 
@@ -64,8 +71,8 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0))
 
 
-def packed(vectors: DataFrame, pivots: dict[int, np.ndarray], size: int) -> DataFrame:
-    """Blocks of at most size vectors of one length with their distances to the pivots."""
+def packed(vectors: DataFrame, pivots: dict[int, np.ndarray], most: int) -> DataFrame:
+    """Blocks of at most `most` vectors of one length with their distances to the pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -78,7 +85,7 @@ def packed(vectors: DataFrame, pivots: dict[int, np.ndarray], size: int) -> Data
             ids = np.concatenate([i for i, _ in rows])
             made += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()]), pa.array([x.tobytes()]), pa.array([distances(x, pivots[dim]).tobytes()])],
+                [pa.array([dim], pa.int32()), pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()]), pa.array([x.tobytes()]), pa.array([distances(x, pivots[dim]).astype(np.float32).tobytes()])],
                 ["dim", "block", "n", "ids", "vectors", "far"],
             )
 
@@ -87,6 +94,7 @@ def packed(vectors: DataFrame, pivots: dict[int, np.ndarray], size: int) -> Data
             sizes = np.diff(lists.offsets.to_numpy())
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
             for dim in np.unique(sizes).tolist():
+                size = max(1, min(most, NUMBERS // max(1, dim)))
                 for lo in range(0, int((sizes == dim).sum()), size):
                     at = np.flatnonzero(sizes == dim)[lo : lo + size]
                     x = scaled(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
@@ -100,24 +108,33 @@ def packed(vectors: DataFrame, pivots: dict[int, np.ndarray], size: int) -> Data
 
 
 class Best:
-    """The k best candidates so far of each query of a block."""
+    """The k best candidates so far of each query of a block; floor: k-th scores known before."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int):
-        self.ids, self.x, self.far, self.k = ids, x, far.astype(np.float32), k
+    def __init__(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.ids, self.x, self.far, self.k = ids, x, far, k
         self.norm = (x**2).sum(1)
-        self.score = np.full((len(ids), k), -np.inf)
+        self.floor = np.full(len(ids), -np.inf, np.longdouble) if floor is None else floor
+        self.score = np.full((len(ids), k), -np.inf, np.longdouble)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.looked = 0
 
-    def bounds(self, some: slice, ids: np.ndarray, norm: np.ndarray, far: np.ndarray) -> np.ndarray:
-        """Upper bounds of the inner products of some queries with all candidates of a block."""
-        gap = np.zeros((len(self.ids[some]), len(ids)), np.float32)
-        for p in range(far.shape[1]):
-            np.maximum(gap, np.abs(far[:, p] - self.far[some, p, None]), out=gap)
-        both = self.norm[some, None] + norm
-        bound = (both - gap.astype(np.float64) ** 2) / 2 + 2e-6 * both + 1e-3  # and what rounding of the distances may hide
-        bound[ids == self.ids[some, None]] = -np.inf
-        return bound
+    def least(self) -> np.ndarray:
+        """What a score has to reach."""
+        return np.maximum(self.floor, self.score[:, -1])
+
+    def bounds(self, some: slice, ids: np.ndarray, norm: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates that some of the queries may need, and upper bounds of their inner products."""
+        at, gap = np.arange(len(ids)), np.zeros((len(self.ids[some]), len(ids)), np.float32)
+        for lo in range(0, far.shape[1], CHEAP):
+            for p in range(lo, min(lo + CHEAP, far.shape[1])):
+                np.maximum(gap, np.abs(far[at, p] - self.far[some, p, None]), out=gap)
+            both = self.norm[some, None] + norm[at]
+            bound = (both - gap.astype(np.float64) ** 2) / 2 + 2e-6 * both + 1e-3  # and what rounding of the distances may hide
+            bound[np.isnan(bound)] = np.inf
+            bound[ids[at] == self.ids[some, None]] = -np.inf
+            needed = (bound >= self.least()[some, None]).any(0) & (bound > -np.inf).any(0)
+            at, gap, bound = at[needed], gap[:, needed], bound[:, needed]
+        return at, bound
 
     def take(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         """Adds candidates, given as equally long arrays."""
@@ -129,37 +146,37 @@ class Best:
         best = order[first[:, None] + np.arange(self.k)]
         self.found[mine], self.score[mine] = ids[best], score[best]
 
-    def meet(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
-        norm, far = (x**2).sum(1), far.astype(np.float32)
+    def meet(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray, most: int | None = None) -> None:
+        """Looks at candidates in the order of their bounds; most: no more of them a query than so many."""
+        norm = (x**2).sum(1)
         for lo in range(0, len(self.ids), TILE):
             some = slice(lo, min(lo + TILE, len(self.ids)))
-            bound = self.bounds(some, ids, norm, far)
-            if np.isinf(self.score[some, -1]).any() and len(ids) > STEP:  # no k-th score yet: the most promising first
-                at = np.argpartition(-bound, STEP, axis=1)[:, :STEP]
-                self.look(lo, at, bound, ids, x)
-                np.put_along_axis(bound, at, -np.inf, axis=1)
-            worth = (bound >= self.score[some, -1:]) & (bound > -np.inf)
-            if worth.mean() > DENSE:  # nearly all have to be looked at: one matrix product
-                score = self.x[some] @ x.T
-                self.looked += int(worth.sum())
-                q, c = np.nonzero(worth & (score >= self.score[some, -1:]))
-                self.take(q + lo, ids[c], score[q, c])
-                continue
-            for q in np.flatnonzero(worth.any(1)).tolist():
-                order = np.flatnonzero(worth[q])
-                order = order[np.argsort(-bound[q, order], kind="stable")]
-                for at in range(0, len(order), STEP):
-                    if bound[q, order[at]] < self.score[lo + q, -1]:
-                        break  # no candidate left can be among the k best
-                    self.look(lo + q, order[None, at : at + STEP], bound[q : q + 1], ids, x)
-
-    def look(self, lo: int, at: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        """Scores of the candidates at[i] of query lo + i."""
-        score = np.einsum("ncd,nd->nc", x[at], self.x[lo : lo + len(at)])
-        ok = (np.take_along_axis(bound, at, axis=1) > -np.inf) & (score >= self.score[lo : lo + len(at), -1:])
-        self.looked += at.size
-        q, c = np.nonzero(ok)
-        self.take(q + lo, ids[at[q, c]], score[q, c])
+            at, bound = self.bounds(some, ids, norm, far)
+            order = np.argsort(-bound, axis=1, kind="stable")
+            bound = np.take_along_axis(bound, order, axis=1)
+            place, step, end = 0, STEP, min(len(at), most or len(at))
+            while place < end:
+                open_ = np.flatnonzero((bound[:, place] >= self.least()[some]) & (bound[:, place] > -np.inf))
+                if not len(open_):
+                    break  # no candidate left can be among the k best of any query
+                upto = min(end, place + step)
+                self.look(lo + open_, at[order[open_, place:upto]], bound[open_, place:upto], ids, x)
+                place, step = upto, step + STEP
+
+    def look(self, q: np.ndarray, at: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Scores of the candidates at[i] of query q[i]; doubles where they hold the sums exactly."""
+        least = self.least()[q, None]
+        worth = (bound >= least) & (bound > -np.inf)
+        self.looked += int(worth.sum())
+        cells = max(1, (1 << 22) // max(1, at.shape[1] * x.shape[1]))
+        for lo in range(0, len(q), cells):
+            mine, there = self.x[q[lo : lo + cells]], x[at[lo : lo + cells]]
+            if self.norm[q].max() * (there**2).sum(2).max(initial=0) >= 2.0**104:
+                mine, there = mine.astype(np.longdouble), there.astype(np.longdouble)
+            score = np.einsum("ncd,nd->nc", there, mine).astype(np.longdouble)
+            i, c = np.nonzero(worth[lo : lo + cells] & (score >= least[lo : lo + cells]))
+            if len(i):
+                self.take(q[lo + i], ids[at[lo + i, c]], score[i, c])
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -167,30 +184,53 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", emb
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
     pivots = choose(rows)
-    dims = pivots
-    candidates = staged(packed(rows, dims, CANDIDATES), "candidates")
-    asked = staged(packed(usable(vectors.filter(is_query), vec_id, embedding), dims, QUERIES), "queries")
-    tasks = partitions(spark)
-    groups = max(1, tasks // max(1, asked.count()))
-    q = asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vectors", "far")])
-    pairs = candidates.join(q, "dim").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    pairs = pairs.select("dim", "q_block", "q_ids", "q_vectors", "q_far", "ids", "vectors", "far", "part").repartition(tasks, "q_block", "part")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, Best] = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, block, q_ids, q_vectors, q_far, ids, x, far, _ = (c[i].as_py() for c in batch.columns)
-                if block not in best:
-                    mine = np.frombuffer(q_ids, np.int64)
-                    best[block] = Best(mine, np.frombuffer(q_vectors).reshape(len(mine), dim), np.frombuffer(q_far).reshape(len(mine), -1), k)
-                other = np.frombuffer(ids, np.int64)
-                best[block].meet(other, np.frombuffer(x).reshape(len(other), dim), np.frombuffer(far).reshape(len(other), -1))
-        for b in best.values():
-            q, r = np.nonzero(b.score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(b.found[q, r]), pa.array(b.score[q, r].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    candidates = staged(packed(rows, pivots, CANDIDATES), "candidates")
+    asked = staged(packed(usable(vectors.filter(is_query), vec_id, embedding), pivots, QUERIES), "queries")
+    n_candidates, n_asked = candidates.count(), asked.count()
+    across = max(1, -(-n_asked // QUERY_BLOCKS))
+    down = max(1, -(-n_candidates // CANDIDATE_BLOCKS), min(n_candidates, partitions(spark) // across))
+    part = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = candidates.withColumn("i", part(down)).withColumn("j", each(across))
+    right = asked.withColumn("j", part(across)).withColumn("i", each(down))
+
+    def read(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+        for r in range(t.num_rows):
+            row = {name: t.column(name)[r].as_py() for name in t.column_names}
+            ids = np.frombuffer(row["ids"], np.int64)
+            floor = np.frombuffer(row["floor"], np.longdouble) if row.get("floor") else None
+            yield row["block"], ids, np.frombuffer(row["vectors"]).reshape(len(ids), row["dim"]), np.frombuffer(row["far"], np.float32).reshape(len(ids), -1), floor
+
+    def met(some: pa.Table, questions: pa.Table, most: int | None = None) -> Iterator[tuple[int, Best]]:
+        blocks = [x for _, *x, _ in read(some)]
+        if blocks:
+            ids, x, far = (np.concatenate(z) for z in zip(*blocks, strict=True))
+            for block, *q, floor in read(questions):
+                best = Best(*q, k, floor)
+                best.meet(ids, x, far, most)
+                yield block, best
+
+    def start(some: pa.Table, questions: pa.Table) -> pa.Table:
+        found = [(block, best.score.tobytes()) for block, best in met(some, questions, k)]
+        return pa.table([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["block", "scores"])
+
+    def kth(key: tuple, t: pa.Table) -> pa.Table:
+        scores = np.concatenate([np.frombuffer(x.as_py(), np.longdouble).reshape(-1, k) for x in t.column("scores")], axis=1)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([(-np.sort(-scores, axis=1)[:, k - 1]).tobytes()], pa.binary())], ["block", "floor"])
+
+    def search(some: pa.Table, questions: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for _, best in met(some, questions):
+            q, r = np.nonzero(best.score > -np.inf)
+            most = np.iinfo(np.int64).max
+            out.append((best.ids[q], best.found[q, r], np.clip(best.score[q, r], -most - 1, most).astype(np.int64)))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    grid = ["dim", "i", "j"]
+    begun = left.filter(F.col("i") < FIRST).groupBy(*grid).cogroup(right.filter(F.col("i") < FIRST).groupBy(*grid)).applyInArrow(start, "block long, scores binary")
+    floors = staged(begun.groupBy("block").applyInArrow(kth, "block long, floor binary"), "floors")  # FIRST rows a block at most
+    right = right.join(floors, "block", "left")
+    found = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -26,20 +26,48 @@ def usable(x):
     return x is not None and all(v is not None and math.isfinite(v) for v in x)
 
 
-@pytest.mark.parametrize("dense", [0.2, 2.0])
-def test_top_k_equals_brute_force(spark, monkeypatch, dense):
-    monkeypatch.setattr(pivots, "DENSE", dense)
-    monkeypatch.setattr(pivots, "STEP", 8)
-    rows, df = vectors(spark)
+@pytest.mark.parametrize("first,few", [(8, True), (1, False)])
+def test_top_k_equals_brute_force(spark, monkeypatch, first, few):
+    """Repeated rows and ids, clashing columns, integers beyond doubles; with few: many blocks and parts."""
+    monkeypatch.setattr(pivots, "FIRST", first)
+    if few:
+        for name, n in (("STEP", 8), ("CANDIDATES", 16), ("QUERIES", 2), ("CANDIDATE_BLOCKS", 2), ("QUERY_BLOCKS", 1), ("TILE", 1)):
+            monkeypatch.setattr(pivots, name, n)
+    rows, _ = vectors(spark)
+    rows += [(600 + i, [2.0**24 + 8 * i, 2.0**25 + i, 3.0], 0) for i in range(30)] + rows[3:5] + rows[40:41]
+    df = spark.createDataFrame(rows, VECTORS).selectExpr("*", "label AS dim", "label AS block", "label AS i", "label AS score", "label AS rank", "label AS id", "label AS x")
     got = collections.defaultdict(list)
     for r in sorted(pivots.top_k(df, F.col("vec_id") % 20 == 0, 5).collect(), key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    want = {}
+    want = collections.defaultdict(list)
     for q, x, _ in rows:
         if q is not None and q % 20 == 0 and usable(x):
-            scores = [(-sum(math.floor(64 * float(a)) * math.floor(64 * float(b)) for a, b in zip(np.float32(x), np.float32(y), strict=True)), v) for v, y, _ in rows if v is not None and v != q and usable(y) and len(y) == len(x)]
-            want[q] = [(k + 1, v, -s) for k, (s, v) in enumerate(sorted(scores)[:5])]
-    assert dict(got) == {q: w for q, w in want.items() if w}
+            want[q] += [(-sum(math.floor(64 * float(a)) * math.floor(64 * float(b)) for a, b in zip(np.float32(x), np.float32(y), strict=True)), v) for v, y, _ in rows if v is not None and v != q and usable(y) and len(y) == len(x)]
+    assert dict(got) == {q: [(k + 1, v, -s) for k, (s, v) in enumerate(sorted(w)[:5])] for q, w in want.items() if w}
+
+
+def test_bounds_spare_most_candidates_of_clustered_vectors():
+    """With the shipped constants; results equal those of looking at all."""
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * (rng.normal(size=(40, 64))[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 64)) * 0.02))
+    p = x[:64]
+    ids, far = np.arange(len(x)), pivots.distances(x, p).astype(np.float32)
+    best = pivots.Best(ids[::20], x[::20], far[::20], 20)
+    for lo in range(0, len(x), 2000):
+        best.meet(ids[lo : lo + 2000], x[lo : lo + 2000], far[lo : lo + 2000])
+    assert 0 < best.looked < 0.5 * 300 * 6000
+    scores = x[::20] @ x.T
+    scores[np.arange(300), ids[::20]] = -np.inf
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    assert (best.found == order).all() and (best.score == np.take_along_axis(scores, order, 1)).all()
+
+
+def test_search_deals_both_sides_on_a_grid(spark):
+    """No join on one key: tasks hold blocks by length, candidate part and query part."""
+    _, df = vectors(spark)
+    plan = pivots.top_k(df, F.col("vec_id") % 20 == 0)._jdf.queryExecution().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(dim#" in line]
+    assert "CoGroupsInArrow" in plan and dealt and all(line.split("hashpartitioning(")[1].split("),")[0].count("#") >= 3 for line in dealt) and "CartesianProduct" not in plan
 
 
 def test_near_duplicate_vectors_equal_brute_force(spark, monkeypatch):
