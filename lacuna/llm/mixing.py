@@ -3,29 +3,30 @@
 Each document draws the exponential key -ln(u) / quality weight, u from a hash of its id.
 Within a source documents are ordered by key. A source's target buys complete epochs of
 the source first; the rest goes to the documents first in that order, up to the prefix
-sum that comes nearest the target. Prefix sums have two levels: keys are cut into ranges
-of about RANGE_ROWS documents, ranges are summed before the shuffle, and only the sums of
-ranges are ordered by source. No task holds a whole source.
+sum that comes nearest the target. Prefix sums have two levels: a source's keys are cut
+into ranges of about RANGE_ROWS documents, ranges are summed before the shuffle, and only
+the sums of ranges are ordered by source. The cuts are even in the source's own mixture of
+exponential distributions, one for each class of like weights, so ranges stay even whatever
+the weights are and however large the source. No task holds a whole source.
 
 Cases: null text has size 0 and takes nothing; a null source is a source of its own, last;
 null, equal or repeated ids are ordered by size after the key; an empty table mixes to an
-empty one; columns beside the named ones are kept by mixed() and not read by plan().
+empty one; missing weights and those not above 0 count as 1; columns beside the named ones
+are kept by mixed() and not read by plan().
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lacuna.llm.common import staged
+from lacuna.llm.common import staged, unused
 
 #: Words as the contracts have them: runs of all but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Source weights by rank of the source, repeating; most epochs of a source; documents in a range of keys.
-WEIGHTS, MOST, RANGE_ROWS = (5, 2, 1), 3, 4_000
+#: Source weights by rank of the source, repeating; most epochs of a source; documents in a range of keys; classes of weights from one to its double.
+WEIGHTS, MOST, RANGE_ROWS, CLASSES = (5, 2, 1), 3, 4_000, 4
 
 
 def n_words(text: Column) -> Column:
@@ -56,22 +57,39 @@ def targets(sources: DataFrame) -> DataFrame:
     return out.withColumn("target", F.coalesce(F.least("cap", F.col("sw") * F.col("first_free.level")), F.col("cap"))).select("skey", "source_size", "target")
 
 
+def spreads(keyed: DataFrame) -> DataFrame:
+    """skey, ranges and mix (share and mean of each class of weights) of every source."""
+    kinds = keyed.groupBy("skey", F.floor(F.log2("weight") * CLASSES).alias("kind")).agg(F.count("*").alias("n"), F.avg("weight").alias("mean"))
+    mix = F.sort_array(F.collect_list(F.struct("kind", "n", "mean")))  # a few classes: weights range over few powers of two
+    return kinds.groupBy("skey").agg(F.sum("n").alias("all"), mix.alias("kinds")).select(
+        "skey",
+        F.ceil(F.col("all") / RANGE_ROWS).alias("ranges"),
+        F.transform("kinds", lambda k: F.struct((k["n"] / F.col("all")).alias("share"), k["mean"].alias("mean"))).alias("mix"),
+    )
+
+
+def share_below(key: Column, mix: Column) -> Column:
+    """The share of a source's documents that have smaller keys, as its weights let expect; it grows with the key."""
+    return F.aggregate(mix, F.lit(0.0), lambda sum_, k: sum_ + k["share"] * (1 - F.exp(-k["mean"] * key)))
+
+
 def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weight: str = "weight") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken for every row of docs."""
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     u = (F.conv(F.substring(F.md5(ident), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    chance = F.when(F.col(weight) > 0, F.col(weight).cast("double")).otherwise(F.lit(1.0))
     keyed = staged(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source))).alias("skey"),
             F.col(size).cast("long").alias("size"),
-            (-F.log(u) / F.col(weight)).alias("key"),
+            chance.alias("weight"),
+            (-F.log(u) / chance).alias("key"),
         ),
         "mixing",
     )
-    ranges = max(1, math.ceil(keyed.count() / RANGE_ROWS))
-    keyed = keyed.withColumn("cut", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+    keyed = keyed.join(spreads(keyed), "skey").withColumn("cut", F.floor(F.least(share_below(F.col("key"), F.col("mix")), F.lit(1 - 1e-12)) * F.col("ranges"))).drop("mix", "ranges", "weight")
     cuts = keyed.groupBy("skey", "cut").agg(F.sum("size").alias("cut_size"), F.min("source").alias("source"))
     sources = cuts.groupBy("skey").agg(F.sum("cut_size").alias("source_size"), F.min("source").alias("source"))
     before = F.coalesce(F.sum("cut_size").over(W.partitionBy("skey").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -98,9 +116,10 @@ def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows alike in doc_id, source and size share the most copies that one of them has.
     """
     copies = plan(weighed(docs, labels)).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = copies.select(*[F.col(c).alias(f"__mix_{c}") for c in copies.columns])
-    same = [docs["doc_id"].eqNullSafe(F.col("__mix_doc_id")), docs["source"].eqNullSafe(F.col("__mix_source")), n_words(docs["text"]) == F.col("__mix_size")]
-    joined = docs.join(copies, same).withColumn("__mix_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
+    of = {c: unused(docs, c) for c in (*copies.columns, "copy")}
+    copies = copies.withColumnsRenamed(of)
+    same = [docs["doc_id"].eqNullSafe(F.col(of["doc_id"])), docs["source"].eqNullSafe(F.col(of["source"])), n_words(docs["text"]) == F.col(of["size"])]
+    joined = docs.join(copies, same).withColumn(of["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(of["copies"]))))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -222,6 +222,23 @@ def test_better_documents_come_first_more_often(spark):
     assert by[0] >= by[1] and abs(sum(r.t for r in share) - target) <= 1
 
 
+def test_ranges_are_even_whatever_the_weights(spark):
+    """One source holds nine tenths of the rows, and its weights differ a hundredfold."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"), F.lit(3).cast("long").alias("size"), F.element_at(F.array(F.lit(0.02), F.lit(0.5), F.lit(2.0), F.lit(None), F.lit(0.5)), (F.col("id") % 5 + 1).cast("int")).alias("weight"))
+    keys = docs.select(F.concat(F.lit("="), "source").alias("skey"), F.coalesce("weight", F.lit(1.0)).alias("weight"), (-F.log((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) + 0.5) / 1_000_003) / F.coalesce("weight", F.lit(1.0))).alias("key"))
+    cut = keys.join(mixing.spreads(keys), "skey").withColumn("cut", F.floor(mixing.share_below(F.col("key"), F.col("mix")) * F.col("ranges")))
+    by = cut.groupBy("skey", "cut").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("skey", "cut").collect()
+    assert len(by) == 14 + 2 and max(r.n for r in by) < 1.1 * mixing.RANGE_ROWS
+    assert all(a.hi <= b.lo for a, b in zip(by, by[1:], strict=False) if a.skey == b.skey)
+    assert mixing.plan(docs).filter("source_size IS NULL OR taken > 9").count() == 0
+
+
+def test_mix_keeps_columns_with_its_own_names(spark):
+    docs = frame(spark, corpus(6)).withColumns({c: F.lit(5) for c in ("copies", "copy", "Copy_", "weight", "cut", "target", "mix")})
+    out = mixing.mixed(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert out.columns == docs.columns and out.count() > 0 and out.filter("copies != 5 OR `copy` != 5 OR size != 7").count() == 0
+
+
 def test_languages_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identified(docs, "lang").filter("held_out").collect()
