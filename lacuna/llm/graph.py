@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import staged
+from lacuna.llm.common import discard, staged
 
 #: Links are so many times fewer than what they were found in, for the number of tasks.
 SHARE = 16
@@ -20,24 +20,23 @@ def _minima(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id that each linked id reaches. links: columns a and b, any order.
 
     Ids without links do not appear. Repeated links and links of an id to itself are fine.
     """
     edges = staged(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", SHARE)
     told = None
-    for _ in range(most_rounds):
+    while True:  # stars in turn settle, however long the paths are
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_minima(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         large = large.distinct()
         least = _minima(large)  # in large u > v, so these are all of u's lesser neighbours
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "small-star", SHARE)
+        before, edges = edges, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "small-star", SHARE)
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == told:
             break
         told = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

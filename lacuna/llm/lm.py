@@ -8,8 +8,9 @@ model counts the target documents, the background model all. A document's score
 loss per token under the target model less that under the background model: low scores
 look like the target.
 
-Documents are dealt into blocks. A block sends its distinct words, then its distinct
-bigrams, with their counts to the hash range they belong to; ranges add up and send back
+Documents are dealt into blocks of about BLOCK bytes, whatever the size of the corpus. A
+block sends its distinct words, then its distinct bigrams, with their counts to the hash
+range they belong to; a range for every RANGE bytes of text. Ranges add up and send back
 only the totals that differ from the block's own. Nothing grows on the driver: it gets
 five numbers a range. Counts cover every document, whole.
 
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import shingles
-from lacuna.llm.common import mix64, partitions, staged
+from lacuna.llm.common import mix64, partitions, pieces, staged
 
 #: Least count of a word of the vocabulary; weight of the bigram; added to counts of words.
 LEAST, L, A = 2, 0.7, 0.5
+#: Bytes of text in a block, and for which there is one hash range.
+BLOCK, RANGE = 8_000_000, 16_000_000
 START, END, OTHER = (np.uint64(x) for x in (1, 2, 3))
 _FIRST, _SECOND = mix64(np.array([11, 12], np.uint64)) | np.uint64(1)
 ZIP = pa.Codec("zstd", compression_level=1)
@@ -140,8 +143,10 @@ class Block:
 
 def scored(docs: DataFrame, targets: DataFrame, least: int = LEAST, weight: float = L, added: float = A) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every row of docs; targets: the target documents' doc_id."""
-    n = partitions(docs.sparkSession)
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(2 * n)).cast("int")
+    tasks = partitions(docs.sparkSession)
+    blocks = pieces(docs, "text", BLOCK, 2 * tasks)
+    n = max(tasks, -(-blocks * BLOCK // RANGE))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.col("text"), F.lit(""))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", salt(key).alias("block"))
     eight = F.unhex(F.concat(*[F.substring(F.lpad(F.hex(F.col("doc_id")), 16, "0"), i, 2) for i in range(15, 0, -2)]))

@@ -3,9 +3,10 @@
 A byte goes if a string of SPAN bytes that covers it also starts in a document with a
 smaller id. Only suffixes that can repeat are sorted: every window of SPAN bytes chooses
 an anchor (see anchors.py), and an anchor matters if its string occurs in two documents.
-A block of documents sorts the suffixes of its anchors, up to SPAN bytes long, with the
+A block of documents, about BLOCK bytes of text, sorts the suffixes of its anchors, up to SPAN bytes long, with the
 bytes before them, keeps equal ones once with their least document id, and sends them as
-front-coded sorted runs to ranges of the suffix order. A range merges its runs with a
+front-coded sorted runs to ranges of the suffix order, cut at the first GRAM bytes of
+sampled suffixes, one for every RANGE bytes of text. A range merges its runs with a
 loser tree whose nodes hold the length of the prefix known to be common with the last
 suffix put out, so known prefixes are never compared again. The common prefixes of
 neighbours give the groups of equal windows and their least document ids; the blocks get
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.anchors import GRAM, SPAN, anchors, chunks
-from lacuna.llm.common import mix64, partitions, staged
+from lacuna.llm.common import mix64, partitions, pieces, staged, unused
 
 #: Bytes before an anchor that a window can have; anchors a block adds to the sample; anchors in the sample.
 BEFORE, SAMPLED, SPLITTERS_FROM = SPAN - GRAM, 64, 4096
+#: Bytes of text in a block, and for which there is one range of suffixes.
+BLOCK, RANGE = 4_000_000, 16_000_000
 #: Entries of a group that are compared in pairs; larger groups look their windows up.
 PAIRWISE, WAITING, NOBODY = 6, 20_000, np.iinfo(np.int64).max
 ZIP = pa.Codec("zstd", compression_level=1)
@@ -302,9 +305,10 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     with these names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "__block")
-    n = partitions(spark)
-    blocks = 4 * n
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    tasks = partitions(spark)
+    blocks = pieces(docs, text, BLOCK, 4 * tasks)
+    n, place = max(tasks, -(-blocks * BLOCK // RANGE)), unused(docs, "block")
     names = docs.columns
     salt = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))), F.lit(blocks)).cast("int")
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), salt.alias("block"))
@@ -321,7 +325,7 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         me = key[0].as_py()
         rows = [(me, p, 0, keys[order[cut[p] : cut[p + 1]]].tobytes()) for p in range(n) if cut[p] < cut[p + 1]]
         some = np.argsort(b.keys, kind="stable")[:SAMPLED]
-        sample = b"".join(b.raw[i : i + 8].tobytes() for i in b.at[some].tolist())
+        sample = b"".join(b.raw[i : i + GRAM].tobytes() for i in b.at[some].tolist())
         return _rows([*rows, (me, me % n, 2, sample)])
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
@@ -349,11 +353,11 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     found = staged(dealt.groupBy("block").applyInArrow(anchor, PACKED).groupBy("part").applyInArrow(meet, PACKED), "anchors")
     shared = found.filter("kind = 1").select("block", "part", "kind", "data")
-    eights = F.explode(F.transform(F.sequence(F.lit(1), F.length("data"), F.lit(8)), lambda i: F.substring(F.col("data"), i, 8)))
-    sample = found.filter("kind = 2 AND length(data) >= 8").select(eights.alias("s"))
+    heads = F.explode(F.transform(F.sequence(F.lit(1), F.length("data"), F.lit(GRAM)), lambda i: F.substring(F.col("data"), i, GRAM)))
+    sample = found.filter(f"kind = 2 AND length(data) >= {GRAM}").select(heads.alias("s"))
     sample = sorted(bytes(r.s) for r in sample.orderBy(F.xxhash64("s")).limit(SPLITTERS_FROM).collect())
     splitters = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
-    cuts = np.array([int.from_bytes(x, "big") for x in splitters], np.uint64)
+    cuts = np.array(splitters, f"S{GRAM}")
 
     def narrowed(b: Block, more: pa.Table) -> Block:
         kind = more.column("kind").to_pylist()
@@ -366,8 +370,8 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         if not t.num_rows:
             return _rows([])
         b = narrowed(block_of(t), more)
-        eight = np.ascontiguousarray(b.table[:, :8]).reshape(-1).view(">u8").astype(np.uint64)
-        part = np.searchsorted(cuts, eight, "right")
+        head = np.ascontiguousarray(b.table[:, :GRAM]).reshape(-1).view(f"S{GRAM}")  # entries that share GRAM bytes share a range
+        part = np.searchsorted(cuts, head, "right")
         cut = np.searchsorted(part, np.arange(len(cuts) + 2))
         me = t.column("block")[0].as_py()
         return _rows([(me, p, 0, front_coded(b.table[cut[p] : cut[p + 1]], b.least[cut[p] : cut[p + 1]], int(cut[p]))) for p in range(len(cuts) + 1) if cut[p] < cut[p + 1]])
@@ -405,7 +409,7 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     runs = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sort, PACKED)
     told = staged(runs.groupBy("part").applyInArrow(merge, PACKED), "repeats")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    whole = docs.withColumn("__block", salt)
+    whole = docs.withColumn(place, salt)
     id_at, text_at = names.index(doc_id), names.index(text)
 
     def mark(key: tuple, t: pa.Table, more: pa.Table) -> pa.Table:
@@ -430,16 +434,17 @@ def repeated_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return pa.Table.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     replies = shared.unionByName(told)
-    return whole.groupBy("__block").cogroup(replies.groupBy(F.col("block").alias("__block"))).applyInArrow(mark, schema)
+    return whole.groupBy(place).cogroup(replies.groupBy(F.col("block").alias(place))).applyInArrow(mark, schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with what stays of each text; bytes of a character that was cut go with it."""
     names = docs.columns
-    other = {c: f"__own_{c}" for c in names if c in ("n_bytes", "n_removed", "n_spans", "kept")}
-    out = repeated_removed(docs.withColumnsRenamed(other), whole_characters=True)
+    hidden = {c: unused(docs, c) for c in names if c.lower() in ("n_bytes", "n_removed", "n_spans", "kept")}
+    hidden = {c: f"{x}{i}" for i, (c, x) in enumerate(hidden.items())}
+    out = repeated_removed(docs.withColumnsRenamed(hidden), whole_characters=True)
     text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in names])
+    return out.withColumn("text", text).select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in names])
 
 
 ORACLE = """

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lacuna.llm import anchors, graph, partenum, shingles, suffixes
+from lacuna.llm import anchors, common, graph, partenum, shingles, suffixes
 from tests.llm.helpers import corpus, frame
 
 
@@ -122,6 +123,41 @@ def test_link_counts_equal_brute_force(spark, monkeypatch, few, together):
     assert got == want
 
 
+def test_sets_that_signatures_cannot_tell_apart_are_pairs(spark):
+    """Sets with one short fingerprint, beside a proposed pair of it and sizes that rule a link out."""
+    classes = spark.createDataFrame([(5, 1, 100), (5, 2, 100), (6, 3, 90), (7, 4, 10), (7, 5, 90)], "short long, rep long, n long")
+    asked = partenum.sized(classes, spark.createDataFrame([(5, 6), (6, 7)], "a long, b long"), 75)
+    assert sorted((min(r), max(r)) for r in map(tuple, asked.collect())) == [(1, 2), (1, 3), (2, 3), (3, 5)]
+
+
+def test_packed_signatures_take_as_many_bytes_in_any_number_of_ranges():
+    rng = np.random.default_rng(1)
+    sig, prints = rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2), rng.integers(1, 1 << 62, 200)
+    for buckets in (1, 7, 500, 70_000):
+        packer = partenum._Packer(buckets)
+        packer.add(prints, sig, np.arange(1000) % 200)
+        packer.add(prints, sig, np.arange(1000) % 200)  # sets that it knows
+        rows = list(packer.rows())
+        assert sum(len(x) for _, x in rows) == 12_000 and all(0 <= b < buckets for b, _ in rows)
+        low, mine = (np.concatenate(x) for x in zip(*(partenum.unpack(x) for _, x in rows), strict=True))
+        want = sorted(zip((sig & np.uint64((1 << 48) - 1)).tolist(), partenum.short(prints)[np.arange(1000) % 200].tolist(), strict=True))
+        assert sorted(zip(low.tolist(), mine.tolist(), strict=True)) == want
+
+
+def test_blocks_follow_the_bytes(spark):
+    docs = frame(spark, [(i, "ab" * 500, None, None) for i in range(100)] + [(None, None, None, None)])
+    assert common.pieces(docs, "text", 1000, 3) == 100 and common.pieces(docs, "text", 10**6, 3) == 3 and common.pieces(docs.limit(0), "text", 10, 2) == 2
+
+
+def test_columns_with_the_names_used_inside_pass_through(spark):
+    inside = ("block", "Block_", "n_bytes", "KEPT_", "n_removed", "print", "gone", "rep", "n", "component")
+    docs = frame(spark, corpus(3)).withColumns({c: F.lit(c) for c in inside})
+    for stage in (suffixes.without_repeats, partenum.representatives):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert out.filter(" OR ".join(f"`{c}` != '{c}'" for c in inside)).count() == 0 and out.filter("kept AND size = 7").count() == out.count() > 0
+
+
 def test_join_of_chains_near_the_threshold(spark):
     """Neighbours of a chain link, its ends do not: components have to follow links."""
     rng = random.Random(4)
