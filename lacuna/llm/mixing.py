@@ -27,6 +27,8 @@ from lacuna.llm.common import staged, unused
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source weights by rank of the source, repeating; most epochs of a source; documents in a range of keys; classes of weights from one to its double.
 WEIGHTS, MOST, RANGE_ROWS, CLASSES = (5, 2, 1), 3, 4_000, 4
+#: Sources whose mixtures of weights, under a kilobyte each, are broadcast at most; more are joined by source.
+BROADCAST_SOURCES = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -89,7 +91,9 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size:
         ),
         "mixing",
     )
-    keyed = keyed.join(spreads(keyed), "skey").withColumn("cut", F.floor(F.least(share_below(F.col("key"), F.col("mix")), F.lit(1 - 1e-12)) * F.col("ranges"))).drop("mix", "ranges", "weight")
+    known = staged(spreads(keyed), "spreads")
+    known = F.broadcast(known) if known.count() <= BROADCAST_SOURCES else known
+    keyed = keyed.join(known, "skey").withColumn("cut", F.floor(F.least(share_below(F.col("key"), F.col("mix")), F.lit(1 - 1e-12)) * F.col("ranges"))).drop("mix", "ranges", "weight")
     cuts = keyed.groupBy("skey", "cut").agg(F.sum("size").alias("cut_size"), F.min("source").alias("source"))
     sources = cuts.groupBy("skey").agg(F.sum("cut_size").alias("source_size"), F.min("source").alias("source"))
     before = F.coalesce(F.sum("cut_size").over(W.partitionBy("skey").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
