@@ -2,14 +2,16 @@
 
 Vectors x become floor(64 * x). For pivots p the distance of a query q and a candidate x
 is at least max |d(q, p) - d(x, p)|, so their inner product (|q|^2 + |x|^2 - d^2) / 2 has
-an upper bound that costs no look at x. A query evaluates candidates from the largest
-bound down and stops where the bound falls below its k-th score. The maximum is taken over
-a few pivots first; candidates that no query needs any more are spared the others.
+an upper bound that costs no look at x. Queries near the same pivots are taken together,
+TILE of them; they evaluate candidates from the most promising bound down, in steps that
+are one matrix product each, and stop where no bound reaches a k-th score any more. The
+maximum is taken over the nearest pivots first; candidates that no query needs any more
+are spared the others.
 
 Queries and candidates are packed into blocks of bounded size and dealt on a grid: a task
-holds some blocks of each side, and each of them once. A first round over FIRST parts of
-the candidates gives every query a k-th score to start from, so that the second round, over
-all candidates, stops early from its first part on.
+holds some blocks of each side, and each of them once. A first round with one block of
+candidates gives every query a k-th score to start from, so that the second round, over
+all candidates, stops early in every part.
 
 Cases: null vectors, vectors with null or non-finite components and null ids take no
 part; vectors meet those of their own length only; a query with fewer than k candidates
@@ -31,12 +33,12 @@ from pyspark.sql.window import Window as W
 
 from lacuna.llm.common import partitions, staged
 
-#: Scale of the components; pivots, those looked at first, vectors they are chosen from.
-SCALE, PIVOTS, CHEAP, FROM = 64, 64, 8, 4096
+#: Scale of the components; pivots, those looked at together, share of candidates that these rule out to be worth it, vectors pivots are chosen from.
+SCALE, PIVOTS, CHEAP, GAIN, FROM = 64, 64, 8, 8, 4096
 #: Numbers in a block of vectors, rows of a candidate and of a query block at most; blocks of each that a task holds.
 NUMBERS, CANDIDATES, QUERIES, CANDIDATE_BLOCKS, QUERY_BLOCKS = 1 << 18, 4096, 1024, 8, 4
-#: Queries handled at once; candidates a query evaluates at first before it looks at its bound again; parts of the first round.
-TILE, STEP, FIRST = 64, 256, 8
+#: Queries handled at once; candidates they evaluate before they look at the bounds again, at first; candidates whose bounds are made at once.
+TILE, STEP, AHEAD = 64, 256, 1024
 BLOCK = "dim int, block long, n int, ids binary, vectors binary, far binary"
 
 
@@ -81,8 +83,9 @@ def packed(vectors: DataFrame, pivots: dict[int, np.ndarray], most: int) -> Data
         def block(dim: int) -> pa.RecordBatch:
             nonlocal made
             rows = held.pop(dim)
-            x = np.concatenate([r for _, r in rows])
-            ids = np.concatenate([i for i, _ in rows])
+            x, ids = np.concatenate([r for _, r in rows]), np.concatenate([i for i, _ in rows])
+            order = np.argsort(np.argmin(distances(x, pivots[dim]), axis=1), kind="stable")  # near ones together
+            x, ids = x[order], ids[order]
             made += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([dim], pa.int32()), pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()]), pa.array([x.tobytes()]), pa.array([distances(x, pivots[dim]).astype(np.float32).tobytes()])],
@@ -123,18 +126,34 @@ class Best:
         return np.maximum(self.floor, self.score[:, -1])
 
     def bounds(self, some: slice, ids: np.ndarray, norm: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates that some of the queries may need, and upper bounds of their inner products."""
-        at, gap = np.arange(len(ids)), np.zeros((len(self.ids[some]), len(ids)), np.float32)
-        for lo in range(0, far.shape[1], CHEAP):
-            for p in range(lo, min(lo + CHEAP, far.shape[1])):
-                np.maximum(gap, np.abs(far[at, p] - self.far[some, p, None]), out=gap)
-            both = self.norm[some, None] + norm[at]
-            bound = (both - gap.astype(np.float64) ** 2) / 2 + 2e-6 * both + 1e-3  # and what rounding of the distances may hide
-            bound[np.isnan(bound)] = np.inf
-            bound[ids[at] == self.ids[some, None]] = -np.inf
-            needed = (bound >= self.least()[some, None]).any(0) & (bound > -np.inf).any(0)
-            at, gap, bound = at[needed], gap[:, needed], bound[:, needed]
-        return at, bound
+        """Candidates that some of the queries may need, and upper bounds of their inner products.
+
+        The pivots nearest to the queries tell most and come first; the others follow while
+        pivots still rule out a GAIN-th of the candidates that are left.
+        """
+        mine, least, found = self.far[some], self.least()[some, None].astype(np.float64), []
+        pivots = np.argsort(mine.min(0), kind="stable")
+        far = np.ascontiguousarray(far[:, pivots].T)
+        mine = mine[:, pivots]
+        for lo in range(0, len(ids), AHEAD):
+            at = np.arange(lo, min(lo + AHEAD, len(ids)))
+            gap = np.zeros((len(mine), len(at)), np.float32)
+            for first in range(0, len(far), CHEAP):
+                one = np.empty_like(gap)
+                for p in range(first, min(first + CHEAP, len(far))):
+                    np.subtract(far[p, at], mine[:, p, None], out=one)
+                    np.abs(one, out=one)
+                    np.maximum(gap, one, out=gap)
+                both = self.norm[some, None] + norm[at]
+                bound = (both - gap.astype(np.float64) ** 2) / 2 + 2e-6 * both + 1e-3  # and what rounding of the distances may hide
+                bound[np.isnan(bound)] = np.inf
+                bound[ids[at] == self.ids[some, None]] = -np.inf
+                needed = ((bound >= least) & (bound > -np.inf)).any(0)
+                before, at, gap, bound = len(at), at[needed], gap[:, needed], bound[:, needed]
+                if first and GAIN * (before - len(at)) < before:
+                    break
+            found.append((at, bound))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found], axis=1)
 
     def take(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         """Adds candidates, given as equally long arrays."""
@@ -146,37 +165,38 @@ class Best:
         best = order[first[:, None] + np.arange(self.k)]
         self.found[mine], self.score[mine] = ids[best], score[best]
 
-    def meet(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray, most: int | None = None) -> None:
-        """Looks at candidates in the order of their bounds; most: no more of them a query than so many."""
+    def meet(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
+        """Looks at candidates in the order of their bounds."""
         norm = (x**2).sum(1)
         for lo in range(0, len(self.ids), TILE):
             some = slice(lo, min(lo + TILE, len(self.ids)))
-            at, bound = self.bounds(some, ids, norm, far)
-            order = np.argsort(-bound, axis=1, kind="stable")
-            bound = np.take_along_axis(bound, order, axis=1)
-            place, step, end = 0, STEP, min(len(at), most or len(at))
-            while place < end:
-                open_ = np.flatnonzero((bound[:, place] >= self.least()[some]) & (bound[:, place] > -np.inf))
-                if not len(open_):
+            at, bound = self.bounds(some, ids, norm, far) if len(ids) else (np.zeros(0, np.int64), np.zeros((some.stop - lo, 0)))
+            least = self.least()[some, None].astype(np.float64)
+            promise = np.where(np.isinf(bound) | np.isinf(least), bound, bound - np.where(np.isinf(least), 0, least)).max(0, initial=-np.inf)
+            order = np.argsort(-promise, kind="stable")
+            at, bound = at[order], bound[:, order]
+            place, step = 0, STEP
+            while place < len(at):
+                least = self.least()[some, None].astype(np.float64)
+                if not ((bound[:, place:] >= least) & (bound[:, place:] > -np.inf)).any():
                     break  # no candidate left can be among the k best of any query
-                upto = min(end, place + step)
-                self.look(lo + open_, at[order[open_, place:upto]], bound[open_, place:upto], ids, x)
-                place, step = upto, step + STEP
-
-    def look(self, q: np.ndarray, at: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        """Scores of the candidates at[i] of query q[i]; doubles where they hold the sums exactly."""
-        least = self.least()[q, None]
-        worth = (bound >= least) & (bound > -np.inf)
+                there = slice(place, place + step)
+                worth = (bound[:, there] >= least) & (bound[:, there] > -np.inf)
+                some_of = worth.any(0)
+                self.look(lo, at[there][some_of], worth[:, some_of], ids, x, norm)
+                place, step = place + step, 2 * step
+
+    def look(self, lo: int, at: np.ndarray, worth: np.ndarray, ids: np.ndarray, x: np.ndarray, norm: np.ndarray) -> None:
+        """Scores of the candidates for the queries from lo on; in doubles where they hold all sums exactly."""
+        some = slice(lo, lo + len(worth))
         self.looked += int(worth.sum())
-        cells = max(1, (1 << 22) // max(1, at.shape[1] * x.shape[1]))
-        for lo in range(0, len(q), cells):
-            mine, there = self.x[q[lo : lo + cells]], x[at[lo : lo + cells]]
-            if self.norm[q].max() * (there**2).sum(2).max(initial=0) >= 2.0**104:
-                mine, there = mine.astype(np.longdouble), there.astype(np.longdouble)
-            score = np.einsum("ncd,nd->nc", there, mine).astype(np.longdouble)
-            i, c = np.nonzero(worth[lo : lo + cells] & (score >= least[lo : lo + cells]))
-            if len(i):
-                self.take(q[lo + i], ids[at[lo + i, c]], score[i, c])
+        mine, there = self.x[some], x[at]
+        if self.norm[some].max(initial=0) * norm[at].max(initial=0) >= 2.0**104:
+            mine, there = mine.astype(np.longdouble), there.astype(np.longdouble)
+        score = mine @ there.T
+        q, c = np.nonzero(worth & (score >= self.least()[some, None].astype(score.dtype)))
+        if len(q):
+            self.take(q + lo, ids[at[c]], score[q, c].astype(np.longdouble))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -201,22 +221,18 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", emb
             floor = np.frombuffer(row["floor"], np.longdouble) if row.get("floor") else None
             yield row["block"], ids, np.frombuffer(row["vectors"]).reshape(len(ids), row["dim"]), np.frombuffer(row["far"], np.float32).reshape(len(ids), -1), floor
 
-    def met(some: pa.Table, questions: pa.Table, most: int | None = None) -> Iterator[tuple[int, Best]]:
+    def met(some: pa.Table, questions: pa.Table) -> Iterator[tuple[int, Best]]:
         blocks = [x for _, *x, _ in read(some)]
         if blocks:
             ids, x, far = (np.concatenate(z) for z in zip(*blocks, strict=True))
             for block, *q, floor in read(questions):
                 best = Best(*q, k, floor)
-                best.meet(ids, x, far, most)
+                best.meet(ids, x, far)
                 yield block, best
 
     def start(some: pa.Table, questions: pa.Table) -> pa.Table:
-        found = [(block, best.score.tobytes()) for block, best in met(some, questions, k)]
-        return pa.table([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["block", "scores"])
-
-    def kth(key: tuple, t: pa.Table) -> pa.Table:
-        scores = np.concatenate([np.frombuffer(x.as_py(), np.longdouble).reshape(-1, k) for x in t.column("scores")], axis=1)
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([(-np.sort(-scores, axis=1)[:, k - 1]).tobytes()], pa.binary())], ["block", "floor"])
+        found = [(block, best.score[:, -1].tobytes()) for block, best in met(some.slice(0, 1), questions)]
+        return pa.table([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["block", "floor"])
 
     def search(some: pa.Table, questions: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -227,8 +243,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", emb
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     grid = ["dim", "i", "j"]
-    begun = left.filter(F.col("i") < FIRST).groupBy(*grid).cogroup(right.filter(F.col("i") < FIRST).groupBy(*grid)).applyInArrow(start, "block long, scores binary")
-    floors = staged(begun.groupBy("block").applyInArrow(kth, "block long, floor binary"), "floors")  # FIRST rows a block at most
+    one = F.col("i") == 0
+    begun = left.filter(one).groupBy(*grid).cogroup(right.filter(one).groupBy(*grid)).applyInArrow(start, "block long, floor binary")
+    floors = staged(begun, "floors")
     right = right.join(floors, "block", "left")
     found = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

@@ -26,12 +26,11 @@ def usable(x):
     return x is not None and all(v is not None and math.isfinite(v) for v in x)
 
 
-@pytest.mark.parametrize("first,few", [(8, True), (1, False)])
-def test_top_k_equals_brute_force(spark, monkeypatch, first, few):
+@pytest.mark.parametrize("few", [True, False])
+def test_top_k_equals_brute_force(spark, monkeypatch, few):
     """Repeated rows and ids, clashing columns, integers beyond doubles; with few: many blocks and parts."""
-    monkeypatch.setattr(pivots, "FIRST", first)
     if few:
-        for name, n in (("STEP", 8), ("CANDIDATES", 16), ("QUERIES", 2), ("CANDIDATE_BLOCKS", 2), ("QUERY_BLOCKS", 1), ("TILE", 1)):
+        for name, n in (("CANDIDATES", 16), ("QUERIES", 2), ("CANDIDATE_BLOCKS", 2), ("QUERY_BLOCKS", 1)):
             monkeypatch.setattr(pivots, name, n)
     rows, _ = vectors(spark)
     rows += [(600 + i, [2.0**24 + 8 * i, 2.0**25 + i, 3.0], 0) for i in range(30)] + rows[3:5] + rows[40:41]
@@ -46,13 +45,17 @@ def test_top_k_equals_brute_force(spark, monkeypatch, first, few):
     assert dict(got) == {q: [(k + 1, v, -s) for k, (s, v) in enumerate(sorted(w)[:5])] for q, w in want.items() if w}
 
 
-def test_bounds_spare_most_candidates_of_clustered_vectors():
-    """With the shipped constants; results equal those of looking at all."""
+@pytest.mark.parametrize("tile,step,ahead", [(64, 256, 2048), (3, 5, 7)])
+def test_bounds_spare_most_candidates_of_clustered_vectors(monkeypatch, tile, step, ahead):
+    """Results equal those of looking at all."""
+    for name, n in (("TILE", tile), ("STEP", step), ("AHEAD", ahead)):
+        monkeypatch.setattr(pivots, name, n)
     rng = np.random.default_rng(5)
     x = np.floor(64 * (rng.normal(size=(40, 64))[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 64)) * 0.02))
     p = x[:64]
     ids, far = np.arange(len(x)), pivots.distances(x, p).astype(np.float32)
     best = pivots.Best(ids[::20], x[::20], far[::20], 20)
+    assert pivots.CHEAP < len(p)
     for lo in range(0, len(x), 2000):
         best.meet(ids[lo : lo + 2000], x[lo : lo + 2000], far[lo : lo + 2000])
     assert 0 < best.looked < 0.5 * 300 * 6000
