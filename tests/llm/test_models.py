@@ -1,6 +1,6 @@
 import collections
-import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -301,9 +301,117 @@ def test_constant_nodes_are_template():
     assert made.extract(pages[2]) == "Story number 2, of which every page of the host has its own."
 
 
-def test_tree_matching_aligns_inserted_nodes():
-    a, b = wrapper.parse("<ul><li>a</li><li class=x>b</li></ul>"), wrapper.parse("<ul><li>a</li><p>new</p><li class=x>c</li></ul>")
-    assert {(x.mark, wrapper.own_text(x), wrapper.own_text(y)) for x, y in wrapper.matching(a, b) if x.tag == "li"} == {("li", "a", "a"), ("li.x", "b", "c")}
+def tree(source):
+    return wrapper.tree_of(wrapper.blocks(wrapper.parse(source)))
+
+
+def brute_weight(x, y):
+    """Simple tree matching as it is defined."""
+    if x.mark != y.mark:
+        return 0
+    m = [[0] * (len(y.kids) + 1) for _ in range(len(x.kids) + 1)]
+    for i, u in enumerate(x.kids):
+        for j, v in enumerate(y.kids):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute_weight(u, v))
+    return 1 + m[-1][-1]
+
+
+def test_tree_matching_equals_its_definition():
+    rng = random.Random(2)
+
+    def grown(deep):
+        kids = [grown(deep - 1) for _ in range(rng.randrange(4))] if deep else []
+        return wrapper.Tree(rng.choice(["div", "div", "div.a", "section"]), kids, [])
+
+    for _ in range(300):
+        x, y = wrapper.Tree("body", [grown(3) for _ in range(3)], []), wrapper.Tree("body", [grown(3) for _ in range(3)], [])
+        pairs = wrapper.matching(x, y)
+        assert len(pairs) == brute_weight(x, y) and all(u.mark == v.mark for u, v in pairs)
+        assert len({id(u) for u, _ in pairs}) == len({id(v) for _, v in pairs}) == len(pairs)
+        both = wrapper.written(x)
+        wrapper.unite(x, y)
+        assert wrapper.written(wrapper.read(wrapper.written(x))) == wrapper.written(x)
+        assert len(wrapper.matching(x, wrapper.read(both))) == both.count("[") - 1  # the merged tree holds the first
+
+
+def test_tree_matching_aligns_inserted_nodes_in_wide_and_deep_pages():
+    shapes = [f"<div><section><div class={c}>x</div></section></div>" for c in "abc"]
+    wide = lambda extra: "<body>" + "".join(shapes[i % 3] + (extra if i == 70 else "") for i in range(150)) + "<div class=end>y</div>"
+    pairs = wrapper.matching(tree(wide("")), tree(wide("<div class=new>z</div>")))
+    assert sum(x.mark == "section" for x, _ in pairs) == 150 and any(x.mark == "div.end" for x, _ in pairs)
+    deep = "<body>" + "<div>" * 3000 + "text"
+    assert len(wrapper.matching(tree(deep), tree(deep + "<section>more"))) == 3002
+    assert wrapper.Wrapper(None).extract(deep) == "text"
+    assert len(wrapper.preorder(tree("<body>" + "<div><p>x</p></div>" * 5000))) == 4  # a list is one node
+
+
+NEUTRAL = "<html><body><div><div>%s</div><div>%s</div></div><div><div>%s</div><div>%s</div></div><div>%s</div></body></html>"
+
+
+def neutral(i, menu="All of our pages, in the order of the alphabet and in that of their dates, are listed here for all of our readers, old and new. " * 4):
+    """A page without any telling name: menu, teaser of the day, article, what three readers of some pages wrote, imprint."""
+    story = f"<div>Story {i} begins in the town of number {i}, as none of the others does.</div><div>Then story {i} goes on.</div>" + f"<div>And on, for the {i}th time.</div>" * (i % 3)
+    voices = "".join(f"<div>Reader {i}.{k} disagrees with what page {i} says about it all.</div>" for k in range(2)) if i % 4 == 0 else ""
+    return NEUTRAL % (menu, f"Teaser of day {i % 2}: " + "come and see what is new with us today. " * 3, story, voices, "Imprint: " + "a long and lawful statement. " * 12)
+
+
+def stories(i):
+    return f"Story {i} begins in the town of number {i}, as none of the others does. Then story {i} goes on." + f" And on, for the {i}th time." * (i % 3)
+
+
+def test_the_wrapper_decides_where_names_tell_nothing(spark):
+    rows = [(i, "http://n.example/", neutral(i)) for i in range(24)]
+    made = wrapper.Wrapper(wrapper.induce([x for *_, x in rows]))
+    assert [made.extract(x) for *_, x in rows] == [stories(i) for i in range(24)]
+    alone = [wrapper.Wrapper(None).extract(x) for *_, x in rows]
+    assert not any(a == stories(i) for i, a in enumerate(alone))  # without it no page comes out right
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: stories(i) for i in range(24)}
+
+
+@pytest.mark.parametrize("fan,size", [(64, 8_000_000), (2, 0)])
+def test_wrappers_equal_those_of_one_task(spark, monkeypatch, fan, size):
+    """Several hosts and layouts, merged in one round and in many, broadcast and joined by salt; clashing columns, a long page."""
+    monkeypatch.setattr(wrapper, "FAN", fan)
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", size)
+    story = lambda i: f"<p>Story {i} begins, as none of the others does, in the town of number {i}.</p><p>Story {i} ends.</p>"
+    of = {"n.example": [neutral(i) for i in range(9)], "h.example": [PAGE % f"<div class=a{'' if i < 8 else ' b'}><p>Printed on plain paper</p>{story(i)}{'<section><h2>More</h2></section>' * (i % 3)}</div>" for i in range(14)], "l.example": [PAGE % f"<article>{story(0) * 4000}</article>"]}
+    rows = [(k * 100 + i, f"https://{host}/{i}", x, "t") for k, (host, pages) in enumerate(of.items()) for i, x in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").selectExpr("*", "host AS salt", "host AS wrapper", "host AS text", "host AS tree")
+    got = {r.page_id: r for r in wrapper.extracted(df).collect()}
+    want = {h: wrapper.Wrapper(wrapper.induce(pages)) for h, pages in of.items()}
+    assert {k: r.text for k, r in got.items()} == {k: want[u.split("/")[2]].extract(x) for k, u, x, _ in rows}
+    assert got[200].n_chars > 300_000 and got[100].text.startswith("Story 0 begins")
+
+
+STORY = "<h1>On %d</h1><p>What is said on page %d is said on no other page of this host.</p>"
+
+
+@pytest.mark.parametrize(
+    "inside,kept",
+    [
+        ("<div class='tags'>rare words</div>", "rare words"),
+        ("<div class='legal'>A lawyer writes</div>", "A lawyer writes"),
+        ("<div class='share-price'>The share stood at 12</div>", "The share stood at 12"),
+        ("<p>Opening hours are nine to five.</p>", "Opening hours are nine to five."),
+        ("<div class='notice-board'><p>Pinned up</p></div>", "Pinned up"),
+        ("<div class='ad'>buy</div><div id='comments'><p>I disagree</p></div><form><p>Name</p></form><aside>x</aside>", ""),
+    ],
+)
+def test_articles_lose_nothing_but_what_names_set_apart(inside, kept):
+    pages = [PAGE % f"<article>{STORY % (i, i)}{inside}<p>End {i}.</p></article>" for i in range(8)]
+    made = wrapper.Wrapper(wrapper.induce(pages))
+    want = lambda i: " ".join(f"On {i} What is said on page {i} is said on no other page of this host. {kept} End {i}.".split())
+    assert [made.extract(x) for x in pages] == [want(i) for i in range(8)] == [wrapper.Wrapper(None).extract(x) for x in pages]
+
+
+def test_all_articles_of_a_page_and_one_article_on_many_pages():
+    two = [PAGE % f"<article>{STORY % (i, i)}</article><article><p>A second piece on {i}.</p></article>" for i in range(6)]
+    assert [x[-20:] for x in map(wrapper.Wrapper(wrapper.induce(two)).extract, two)] == [f"A second piece on {i}."[-20:] for i in range(6)]
+    recipe = "<p>Take two eggs and a pound of flour, and stir them well before you bake them.</p><p>Serve hot.</p>"
+    for frame_ in ("<article>%s</article>", "<div class=main>%s</div>"):
+        same = [PAGE % (f"<p>May {i}</p>" + frame_ % recipe) for i in range(6)]
+        assert {wrapper.Wrapper(wrapper.induce(same)).extract(x) for x in same} == {"Take two eggs and a pound of flour, and stir them well before you bake them. Serve hot."}
 
 
 def test_whole_test_table_of_pages(spark):
@@ -335,4 +443,5 @@ def test_content_path_is_the_block_of_slot_text(spark):
     page = lambda i: PAGE % f"<div class=a><p>{story(i)}</p></div><ul class=voices>{talk(i) if i % 3 == 0 else ''}</ul><div class=more>{teasers if i % 2 else ''}</div>"
     got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(12)], "page_id long, url string, html string")).collect()}
     assert got == {i: story(i) for i in range(12)}
-    assert json.loads(wrapper.induce([page(i) for i in range(12)]))["path"].endswith("body>div.a")
+    made = wrapper.Wrapper(wrapper.induce([page(i) for i in range(12)]))
+    assert made.host.nodes[max(made.value, key=made.value.get)].mark == "div.a"
