@@ -2,8 +2,9 @@
 
 A shard holds consecutive documents in ascending doc_id order (null last, equal ids by
 text). Its stream has batches of BATCH_ROWS rows; a row is one sequence of `length` ids
-and one mask of as many bits, false where the last row is padded, so row r of batch b is
-at a place known beforehand and is read without a copy. A second stream beside it has
+and one mask of as many bits, false where the last row is padded. All batches but the last
+take as many bytes, so any sequence is at a place known beforehand: Sequences reads it from
+a mapped local file without a copy, and by one ranged read from a store. A second stream beside it has
 doc_id, start within the shard and n_tokens. A manifest table, written by Spark, names
 the files of the task attempts that won; files of lost attempts are never read.
 
@@ -31,6 +32,17 @@ from lacuna.llm.bpe import Codec, byte_letters
 from lacuna.llm.common import partitions, shared_dir, staged
 
 LENGTH, BATCH_ROWS = 1024, 256
+#: Names that Spark's file systems have and Arrow's do not.
+SCHEMES = (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://"), ("wasb://", "abfs://"))
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a URI as Spark writes it, and the path in it."""
+    for theirs, ours in SCHEMES:
+        if uri.startswith(theirs):
+            uri = ours + uri[len(theirs) :]
+            uri = uri.replace(".blob.core.", ".dfs.core.", 1) if ours.startswith("abfs") else uri
+    return pafs.FileSystem.from_uri(uri)
 
 
 class LibraryCodec(Codec):
@@ -112,7 +124,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, length: int = L
         dtype = np.dtype(np.uint16 if max(tok.size, end_id + 1) <= 1 << 16 else np.uint32)
         for batch in batches:
             if out is None and batch.num_rows:
-                fs, base = pafs.FileSystem.from_uri(folder)
+                fs, base = filesystem(folder)
                 fs.create_dir(base, recursive=True)
                 name = f"shard-{shard:06d}-{task.taskAttemptId()}"
                 out = fs.open_output_stream(f"{base}/{name}.ids.arrow")
@@ -135,22 +147,55 @@ def write(docs: DataFrame, path: str, folder: str | None = None, length: int = L
     return staged(dealt.mapInArrow(run, MANIFEST), "token-manifest")
 
 
+class Sequences:
+    """The sequences of a file, at random: ids and mask of each, views of the file's bytes where it is mapped."""
+
+    def __init__(self, file: str):
+        fs, base = filesystem(file)
+        path = f"{base}.ids.arrow"
+        self.source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+        self.schema = pa.ipc.read_schema(self.source)
+        self.length = self.schema.field("ids").type.list_size
+        self.first, self.step, self.at, self.held = self.source.tell(), 0, -1, None
+
+    def batch(self, b: int) -> pa.RecordBatch:
+        """Batch b, by its place."""
+        if b != self.at:
+            if b and not self.step:
+                self.batch(0)
+            self.source.seek(self.first + b * self.step)
+            message = pa.ipc.read_message(self.source)
+            if not b:
+                self.step = self.source.tell() - self.first
+            self.at, self.held = b, pa.ipc.read_record_batch(message, self.schema)
+        return self.held
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        b, row = divmod(i, BATCH_ROWS)
+        ids, mask = (self.batch(b).column(c).values.slice(row * self.length, self.length) for c in (0, 1))
+        if i < 0 or not len(ids):
+            raise IndexError(i)
+        return ids.to_numpy(zero_copy_only=True), mask
+
+    def span(self, start: int, n: int) -> np.ndarray:
+        """n ids from a place within the shard on; a view where they are in one batch."""
+        size, parts = BATCH_ROWS * self.length, []
+        while n > 0 or not parts:
+            b, at = divmod(start, size)
+            part = self.batch(b).column(0).values.slice(at, min(n, size - at)).to_numpy(zero_copy_only=True) if n else np.zeros(0, self.schema.field("ids").type.value_type.to_pandas_dtype())
+            parts.append(part)
+            start, n = start + len(part), n - len(part)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def documents(file: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """doc_id, start within the shard and ids of each document, in the shard's order."""
-    fs, base = pafs.FileSystem.from_uri(file)
-    with fs.open_input_stream(f"{base}.docs.arrow") as f, fs.open_input_stream(f"{base}.ids.arrow") as g:
-        stream, held, n = pa.ipc.open_stream(g), [], 0
+    fs, base = filesystem(file)
+    sequences = Sequences(file)
+    with fs.open_input_stream(f"{base}.docs.arrow") as f:
         for index in pa.ipc.open_stream(f):
             for doc, start, size in zip(*(c.to_pylist() for c in index.columns), strict=True):
-                while n < size:
-                    batch = stream.read_next_batch()
-                    flat = batch.column(0).flatten().to_numpy(zero_copy_only=True)
-                    mask = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                    held.append(flat if mask.all() else flat[mask])
-                    n += len(held[-1])
-                flat = held[0] if len(held) == 1 else np.concatenate(held)
-                held, n = [flat[size:]], n - size
-                yield doc, start, flat[:size]
+                yield doc, start, sequences.span(start, size)
 
 
 def read(manifest: DataFrame) -> DataFrame:

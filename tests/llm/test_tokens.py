@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,12 +69,50 @@ def test_files_hold_what_was_written(spark, library, tmp_path):
         want.append((start, d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
-    import pyarrow as pa
-
     stream = pa.ipc.open_stream(next(tmp_path.glob("*.ids.arrow")).read_bytes())
     assert stream.schema.field("ids").type == pa.list_(pa.uint16(), 32) and stream.schema.field("mask").type == pa.list_(pa.bool_(), 32)
 
 
+def test_sequences_are_read_at_random_and_without_a_copy(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BATCH_ROWS", 4)
+    rows = sorted((d, t or "") for d, t, *_ in corpus())
+    ids = np.concatenate([library.encode(t, add_special_tokens=False).ids + [0] for _, t in rows])
+    with open(tmp_path / "x.ids.arrow", "wb") as f:
+        codec = token_files._Sequences(f, 32, np.dtype(np.uint16))
+        for lo in range(0, len(ids), 100):
+            codec.add(ids[lo : lo + 100])
+        codec.close()
+    file = token_files.Sequences(f"file://{tmp_path}/x")
+    mapped = file.source.size()
+    file.source.seek(0)
+    begin = file.source.read_buffer(mapped).address
+    order = list(range(-(-len(ids) // 32)))
+    np.random.default_rng(0).shuffle(order)
+    for i in order:
+        got, mask = file[i]
+        want = ids[i * 32 : i * 32 + 32]
+        assert got[: len(want)].tolist() == want.tolist() and mask.to_pylist() == [k < len(want) for k in range(32)]
+        assert begin <= got.ctypes.data < got.ctypes.data + got.nbytes <= begin + mapped  # bytes of the mapped file itself
+    assert file.step * (len(order) // 4) < mapped
+    for start, n in ((0, 5), (127, 2), (130, 400), (len(ids) - 3, 3), (64, 0)):
+        assert file.span(start, n).tolist() == ids[start : start + n].tolist()
+    with pytest.raises((IndexError, EOFError, OSError, pa.ArrowInvalid)):
+        file[len(order) + 40]
+
+
+@pytest.mark.parametrize("uri,path", [("abfss://c@a.dfs.core.windows.net/x/y", "c/x/y"), ("wasbs://c@a.blob.core.windows.net/x", "c/x"), ("file:///tmp/z", "/tmp/z")])
+def test_uris_as_spark_has_them(uri, path):
+    assert token_files.filesystem(uri)[1] == path
+
+
+def test_s3a_is_s3(monkeypatch):
+    seen = []
+    monkeypatch.setattr(token_files.pafs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda uri: seen.append(uri))}))
+    token_files.filesystem("s3a://bucket/a.blob.core.b")
+    token_files.filesystem("s3n://bucket/a")
+    assert seen == ["s3://bucket/a.blob.core.b", "s3://bucket/a"]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert bpe.round_trip(none, PATH).count() == 0
