@@ -4,9 +4,11 @@ Both models have one vocabulary, the words that the corpus has LEAST times at le
 one sign for all others, and one form:
 P(w | h) = L c(h, w) / c(h) + (1 - L) (c(w) + A) / (N + A V), without the first term
 where c(h) is 0. A document is its words between a start and an end sign. The target
-model counts the target documents, the background model all. A document's score is its
-loss per token under the target model less that under the background model: low scores
-look like the target.
+model counts the target documents, the background model all; either leaves out what the
+document to be scored has itself counted in it, so that no document is judged by a copy of
+its own words, and one whose text the corpus holds twice stands out by a low background
+loss. A document's score is its loss per token under the target model less that under the
+background model: low scores look like the target.
 
 Documents are dealt into blocks of about BLOCK bytes, whatever the size of the corpus. A
 block sends its distinct words, then its distinct bigrams, with their counts to the hash
@@ -108,6 +110,11 @@ class Block:
         self.starts = np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if len(self.doc) else np.zeros(0, bool)
         self.words = Counted(np.concatenate([self.word, np.full(int(full.sum()), START)]), np.concatenate([self.target, self.is_target[full]]))
 
+    def own(self, kind: np.ndarray, kinds: int) -> np.ndarray:
+        """For each token, how many of its kind its document has."""
+        _, which, count = np.unique(self.doc * kinds + kind, return_inverse=True, return_counts=True)
+        return count[which]
+
     def learn_words(self, least: int) -> None:
         self.words.told(self.n, [(p, x) for k, p, x in self.sent if k == 1])
         rare = self.words.background < least
@@ -124,15 +131,19 @@ class Block:
     def scores(self, all_words: dict, weight: float, added: float) -> pa.Table:
         self.pairs.told(self.n, [(p, x) for k, p, x in self.sent if k == 2])
         start = np.searchsorted(self.words.keys, START)
-        before = np.empty_like(self.place)
-        before[1:] = self.place[:-1]
-        before[self.starts] = start
+        kind = np.where(self.rare[self.place], len(self.words.keys), self.place)
+        before, own_word = np.empty_like(self.place), self.own(kind, len(self.words.keys) + 1)
+        before[1:], own_before = self.place[:-1], np.empty_like(own_word)
+        before[self.starts], own_before[1:] = start, own_word[:-1]
+        own_before[self.starts] = 1
+        own_pair = self.own(self.pairs.which, len(self.pairs.keys))
+        size = np.bincount(self.doc, minlength=len(self.size))[self.doc]
         losses = []
-        for own, pair, model in ((self.words.target, self.pairs.target, "target"), (self.words.background, self.pairs.background, "background")):
-            single = np.where(self.rare, all_words[f"rare_{model}"], own).astype(np.float64)
-            word = (single[self.place] + added) / (all_words[f"n_{model}"] + added * all_words["vocabulary"])
-            context = single[before]
-            both = weight * pair[self.pairs.which] / np.maximum(context, 1) + (1 - weight) * word
+        for known, pair, model, mine in ((self.words.target, self.pairs.target, "target", self.target.astype(np.int64)), (self.words.background, self.pairs.background, "background", 1)):
+            single = np.where(self.rare, all_words[f"rare_{model}"], known).astype(np.float64)
+            word = (single[self.place] - mine * own_word + added) / (all_words[f"n_{model}"] - mine * size + added * all_words["vocabulary"])
+            context = single[before] - mine * own_before
+            both = weight * (pair[self.pairs.which] - mine * own_pair) / np.maximum(context, 1) + (1 - weight) * word
             losses.append(np.bincount(self.doc, -np.log(np.where(context > 0, both, word)), len(self.size)))
         tokens = np.bincount(self.doc, minlength=len(self.size))
         none = tokens == 0
@@ -217,16 +228,17 @@ v AS (SELECT w FROM raw GROUP BY w HAVING count(*) >= 2),
 k AS (
   SELECT doc_id, target, i, CASE WHEN v.w IS NULL THEN ' other' ELSE raw.w END AS w FROM raw LEFT JOIN v ON raw.w = v.w
   UNION ALL SELECT doc_id, target, len(w) + 1, ' end' FROM t WHERE len(w) > 0),
-p AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS h FROM k),
-one AS (SELECT w, count(*) AS b, sum(target::INT) AS t FROM p GROUP BY w),
-two AS (SELECT h, w, count(*) AS b, sum(target::INT) AS t FROM p GROUP BY h, w),
-ctx AS (SELECT h, count(*) AS b, sum(target::INT) AS t FROM p GROUP BY h),
-n AS (SELECT count(*) AS b, sum(target::INT) AS t, (SELECT count(*) + 2 FROM v) AS size FROM p),
+h AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS h FROM k),
+p AS (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS ow, count(*) OVER (PARTITION BY doc_id, h, w) AS o2, count(*) OVER (PARTITION BY doc_id, h) AS oh, count(*) OVER (PARTITION BY doc_id) AS od, target::INT AS y FROM h),
+one AS (SELECT w, count(*) AS b, sum(y) AS t FROM p GROUP BY w),
+two AS (SELECT h, w, count(*) AS b, sum(y) AS t FROM p GROUP BY h, w),
+ctx AS (SELECT h, count(*) AS b, sum(y) AS t FROM p GROUP BY h),
+n AS (SELECT count(*) AS b, sum(y) AS t, (SELECT count(*) + 2 FROM v) AS size FROM p),
 s AS (
-  SELECT p.doc_id, (one.t + 0.5) / (n.t + 0.5 * n.size) AS t1, (one.b + 0.5) / (n.b + 0.5 * n.size) AS b1, two.t AS t2, two.b AS b2, ctx.t AS t0, ctx.b AS b0
+  SELECT p.doc_id, (one.t - y * ow + 0.5) / (n.t - y * od + 0.5 * n.size) AS t1, (one.b - ow + 0.5) / (n.b - od + 0.5 * n.size) AS b1, two.t - y * o2 AS t2, two.b - o2 AS b2, ctx.t - y * oh AS t0, ctx.b - oh AS b0
   FROM p JOIN one ON p.w = one.w JOIN two ON p.h = two.h AND p.w = two.w JOIN ctx ON p.h = ctx.h CROSS JOIN n),
 l AS (
-  SELECT doc_id, count(*) AS n, avg(-ln(CASE WHEN t0 > 0 THEN 0.7 * t2 / t0 + 0.3 * t1 ELSE t1 END)) AS t, avg(-ln(0.7 * b2 / b0 + 0.3 * b1)) AS b FROM s GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n, avg(-ln(CASE WHEN t0 > 0 THEN 0.7 * t2 / t0 + 0.3 * t1 ELSE t1 END)) AS t, avg(-ln(CASE WHEN b0 > 0 THEN 0.7 * b2 / b0 + 0.3 * b1 ELSE b1 END)) AS b FROM s GROUP BY doc_id)
 SELECT t.doc_id, coalesce(l.n, 0)::BIGINT AS n_tokens, round(l.t, 6) AS loss_target, round(l.b, 6) AS loss_background, round(l.t - l.b, 6) + 0.0 AS score
 FROM t LEFT JOIN l ON t.doc_id = l.doc_id
 """

@@ -167,17 +167,17 @@ def test_lm_scores_equal_brute_force(spark):
             one.update(x[1:])
             two.update(zip(x, x[1:], strict=False))
             before.update(x[:-1])
-        n, size = sum(one.values()), len(known) + 2
+        return one, two, before
 
-        def p(h, w):
-            alone = (one[w] + lm.A) / (n + lm.A * size)
-            return lm.L * two[h, w] / before[h] + (1 - lm.L) * alone if before[h] else alone
-
-        return p
+    def p(known_, own, h, w):
+        one, two, before = (a - b for a, b in zip(known_, own, strict=True))  # without what the document has counted
+        alone = (one[w] + lm.A) / (sum(one.values()) + lm.A * (len(known) + 2))
+        return lm.L * two[h, w] / before[h] + (1 - lm.L) * alone if before[h] else alone
 
     models = model([x for d, x in told if d in target]), model([x for _, x in told])
     for d, x in told:
-        t, b = (-sum(math.log(p(h, w)) for h, w in zip(x, x[1:], strict=False)) / (len(x) - 1) for p in models)
+        own = model([x]) if d in target else model([]), model([x])
+        t, b = (-sum(math.log(p(m, o, h, w)) for h, w in zip(x, x[1:], strict=False)) / (len(x) - 1) for m, o in zip(models, own, strict=True))
         assert got[d].n_tokens == len(x) - 1
         assert (got[d].loss_target, got[d].loss_background, got[d].score) == pytest.approx((t, b, t - b))
     for d, x in words:
