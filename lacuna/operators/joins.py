@@ -19,6 +19,7 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], lt: str, rt: str,
     range join. With `bucket`, an expression of the time column that never falls as time
     rises, a key is sorted in parts and the parts' last right rows are carried over in a
     second, small pass: a key that holds a large share of all rows does not land in one task.
+    Of right rows with one time the one with the largest values of `take`, in their order, counts.
     """
     names = [rt, *take]
     l_side = left.withColumn("__t", F.col(lt)).withColumn("__side", F.lit(0 if strict else 2)).withColumn("__left", F.struct(*left.columns))
@@ -28,10 +29,10 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], lt: str, rt: str,
     if bucket is not None:
         both = both.withColumn("__b", bucket)
         key.append("__b")
-    order = Window.partitionBy(*key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*key).orderBy("__t", "__side", "__right").rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("__m", F.last("__right", ignorenulls=True).over(order)).filter("__left IS NOT NULL")
     if bucket is not None:
-        lasts = both.filter("__right IS NOT NULL").groupBy(*key).agg(F.max_by("__right", "__t").alias("__l"))
+        lasts = both.filter("__right IS NOT NULL").groupBy(*key).agg(F.max_by("__right", F.struct("__t", "__right")).alias("__l"))
         spine = lasts.unionByName(both.filter("__left IS NOT NULL").select(*key).distinct(), allowMissingColumns=True).groupBy(*key).agg(F.first("__l", ignorenulls=True).alias("__l"))
         carry = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         carried = spine.withColumn("__c", F.last("__l", ignorenulls=True).over(carry)).select(*key, "__c")

@@ -232,6 +232,55 @@ def evidence_gate(df: DataFrame, price: str, predicted: str, half: str, horizon:
     return df.withColumn("reasons", why).withColumn("decision", F.when(why != "", "NO CALL").when(up, "UP / HOLD").otherwise("DOWN / SELL"))
 
 
+def with_staleness(live: DataFrame, seen: DataFrame, by: Sequence[str], at: str, day: str, most_age: Column | int, take: Sequence[str] = ()) -> DataFrame:
+    """Live rows with the latest source row strictly before them, its age in days, and whether that is over the limit; none is stale."""
+    from lacuna.operators.joins import asof
+
+    age = F.datediff(F.col(at), F.col(day))
+    limit = F.lit(most_age) if isinstance(most_age, int) else most_age
+    out = asof(live, seen.select(*by, day, *take).distinct(), by, at, day, list(take))
+    return out.withColumn("source_age", age).withColumn("source_stale", F.when(age.isNotNull(), age > limit))
+
+
+def stress(on: DataFrame, keys: Sequence[str], at: str, end: str, ret: str, entered: str, spans: DataFrame, span_keys: Sequence[str]) -> DataFrame:
+    """Rows where a signal is on, by candidate: how called, entered and greedily chosen rows did, and how phases, halves and thirds did.
+
+    spans: first date and the day after the last one (lo, hi) of the rows that have targets;
+    halves and thirds are equally long parts of them, each chosen greedily anew.
+    """
+    from lacuna.operators import folds
+
+    keys = list(keys)
+    hit = lambda x: F.avg((F.col(x) > 0).cast("double"))
+    facts = lambda name: [F.count(ret).alias(f"{name}_n"), hit(ret).alias(f"{name}_hit"), F.avg(ret).alias(f"{name}_mean")]
+    out = on.groupBy(*keys).agg(*facts("called"))
+    out = out.join(on.filter(entered).groupBy(*keys).agg(*facts("episode")), keys, "left")
+    out = out.join(folds.greedy(on, keys, at, end, [ret]).groupBy(*keys).agg(*facts("greedy"), F.percentile(ret, 0.5).alias("greedy_median")), keys, "left")
+    chains = folds.phase_cohorts(on, keys, at, end).join(on.select(*keys, at, ret), [*keys, at])
+    each = chains.groupBy(*keys, "cohort").agg(F.count(ret).alias("n"), hit(ret).alias("hit"), F.avg(ret).alias("mean"))
+    phases = each.groupBy(*keys).agg(F.count("*").alias("phase_count"), F.min("n").alias("phase_n_min"), F.percentile("n", 0.5).alias("phase_n_median"), F.min("hit").alias("phase_hit_min"), F.percentile("hit", 0.5).alias("phase_hit_median"), F.min("mean").alias("phase_mean_min"), F.percentile("mean", 0.5).alias("phase_mean_median"))
+    out = out.join(phases, keys, "left")
+    for name, parts in (("half", 2), ("third", 3)):
+        share = F.datediff(F.col(at), F.col("lo")) * parts / F.datediff(F.col("hi"), F.col("lo"))
+        dealt = on.join(spans, list(span_keys)).withColumn("part", F.least(F.floor(share), F.lit(parts - 1)))
+        thin = folds.greedy(dealt, [*keys, "part"], at, end, [ret]).groupBy(*keys, "part").agg(F.count(ret).alias("n"), hit(ret).alias("hit"), F.avg(ret).alias("mean"))
+        one = lambda i, c: F.max(F.when(F.col("part") == i, F.col(c)))
+        cells = [f(i) for i in range(parts) for f in (lambda i: F.coalesce(one(i, "n"), F.lit(0)).alias(f"{name}{i + 1}_n"), lambda i: one(i, "hit").alias(f"{name}{i + 1}_hit"), lambda i: one(i, "mean").alias(f"{name}{i + 1}_mean"))]
+        out = out.join(thin.groupBy(*keys).agg(*cells), keys, "left")
+    return out.join(_stress_intervals(on, keys, at, ret), keys, "left")
+
+
+def _stress_intervals(on: DataFrame, keys: Sequence[str], at: str, ret: str) -> DataFrame:
+    """Block interval of the mean of called rows, blocks as long as the horizon over the median spacing."""
+    from lacuna.operators import resample
+
+    w = Window.partitionBy(*keys).orderBy(at)
+    gaps = on.withColumn("__gap", F.datediff(F.col(at), F.lag(at).over(w))).groupBy(*keys).agg(F.greatest(F.lit(1.0), F.coalesce(F.percentile("__gap", 0.5), F.lit(1.0))).alias("__space"))
+    rows = resample.numbered(on, keys, [at]).join(gaps, list(keys)).withColumn("mbb_block", F.greatest(F.lit(1), F.ceil(F.col("horizon") / F.col("__space"))).cast("long"))
+    spread = resample.block_interval(rows, [*keys, "mbb_block"], ret, 100, F.col("mbb_block"), 63)
+    return spread.select(*keys, "mbb_block", F.col("ci_low").alias("mbb_ci_low"), F.col("ci_high").alias("mbb_ci_high"))
+
+
 def rule_gate(n: str = "nonoverlap_n", low: str = "ci_low", worst: str = "worst_phase", p: str = "adjusted_p", hit: str = "economic_hit_rate") -> Column:
     return holds((F.col(n) >= 20) & (F.col(low) > 0) & (F.col(worst) >= 0) & (F.col(p) <= 0.05) & (F.col(hit) > 0.5))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lacuna.operators.folds import greedy
+
 #: Statistics this close count as equal, so that no comparison hangs on the order of a sum.
 EQUAL = 1e-9
 
@@ -17,9 +19,10 @@ def hashed(*parts: Column, below: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), below.cast("long"))
 
 
-def block_length(horizon: Column, spacing: Column, n: Column, least: int = 3) -> Column:
-    """Rows that a horizon spans, rounded half to even; `least` at least, a third of the rows at most."""
-    return F.least(F.greatest(F.lit(least), F.bround(horizon / spacing).cast("int")), F.greatest(F.lit(least), F.floor(n / 3).cast("int")))
+def block_length(horizon: Column, spacing: Column, n: Column, least: int = 3, up: bool = False) -> Column:
+    """Rows that a horizon spans, rounded half to even (up: to the next whole number); `least` at least, a third of the rows at most."""
+    rows = F.ceil(horizon / spacing) if up else F.bround(horizon / spacing)
+    return F.least(F.greatest(F.lit(least), rows.cast("int")), F.greatest(F.lit(least), F.floor(n / 3).cast("int")))
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -84,25 +87,139 @@ def shift_p(rows: DataFrame, by: Sequence[str], x: str, y: str, shifts: Sequence
     return null.groupBy(*by).agg(F.first("r0").alias("r"), ((1 + beaten) / F.first("__all")).alias("p"))
 
 
-def max_null(rows: DataFrame, family: Sequence[str], xs: Sequence[str], reps: int, block: Column | int, seed: int) -> DataFrame:
-    """Studentised max-null over candidates xs of a family (joint draws): t, raw and adjusted p.
+def quantile(values: Column, q: float) -> Column:
+    """Quantile of the numbers of an array, linear between neighbours; null of an empty one."""
+    ordered, place = F.array_sort(values), (F.size(values) - 1) * q
+    low = F.floor(place).cast("int")
+    at = lambda i: F.get(ordered, i)
+    return F.when(F.size(values) > 0, at(low) + (place - low) * (F.coalesce(at(low + 1), at(low)) - at(low)))
+
+
+def share_beyond(nulls: Column, value: Column) -> Column:
+    """(1 + how many of the nulls reach the value) / (1 + how many there are)."""
+    return F.when(value.isNotNull(), (1 + F.size(F.filter(nulls, lambda x: x >= value - EQUAL))) / (1 + F.size(nulls)))
+
+
+def max_null(rows: DataFrame, family: Sequence[str], xs: Sequence[str], reps: int, block: Column | int, seed: int, joint: bool = True, iid: bool = False) -> DataFrame:
+    """Studentised max-null over candidates xs of a family: t, raw and adjusted p.
 
     t = mean / se, se the sd of the replicate means; the null of a family is the largest
     of (replicate mean - mean) / se over its candidates, replicate by replicate.
+    joint: all candidates share the draws of a replicate, else each has its own and the
+    replicates meet by number. iid: se is that of independent rows, sd / sqrt(n).
+    A family's replicates are one array, so nothing is joined with itself.
+    """
+    keys = list(family)
+    if joint:
+        means = block_means(rows, family, xs, reps, block, seed)
+    else:
+        means = block_means(rows, family, xs[:1], reps, block, seed)
+        for i, x in enumerate(xs[1:], 1):
+            means = means.join(block_means(rows, family, [x], reps, block, seed + i), [*keys, "rep"])
+    known = [e for x in xs for e in (F.avg(x).alias(f"__m_{x}"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias(f"__i_{x}"))]
+    drawn = means.groupBy(*keys).agg(F.collect_list(F.struct(*xs)).alias("__reps"), *[F.stddev_samp(x).alias(f"__b_{x}") for x in xs])
+    both = rows.groupBy(*keys).agg(*known).join(drawn, keys)
+    se = {x: F.nullif(F.col(f"__{'i' if iid else 'b'}_{x}"), F.lit(0.0)) for x in xs}
+    studentised = lambda x: F.transform("__reps", lambda r: (r[x] - F.col(f"__m_{x}")) / se[x])
+    z = {x: studentised(x) for x in xs}
+    both = both.select(*keys, *[F.col(f"__m_{x}") for x in xs], *[se[x].alias(f"__se_{x}") for x in xs], *[z[x].alias(f"__z_{x}") for x in xs])
+    tops = F.transform(F.arrays_zip(*[f"__z_{x}" for x in xs]), lambda r: F.greatest(*[r[f"__z_{x}"] for x in xs]) if len(xs) > 1 else r[f"__z_{xs[0]}"])
+    both = both.withColumn("__tops", F.filter(tops, lambda x: x.isNotNull()))
+    each = [
+        F.struct(
+            F.lit(x).alias("candidate"), F.col(f"__m_{x}").alias("mean"), F.col(f"__se_{x}").alias("se"), (F.col(f"__m_{x}") / F.col(f"__se_{x}")).alias("t"),
+            share_beyond(F.filter(F.col(f"__z_{x}"), lambda z: z.isNotNull()), F.col(f"__m_{x}") / F.col(f"__se_{x}")).alias("raw_p"), share_beyond(F.col("__tops"), F.col(f"__m_{x}") / F.col(f"__se_{x}")).alias("adjusted_p"),
+        )
+        for x in xs
+    ]
+    return both.select(*keys, F.explode(F.array(*each)).alias("c"), quantile(F.col("__tops"), 0.95).alias("null_95")).select(*keys, "c.*", "null_95")
+
+
+def shifts(groups: DataFrame, by: Sequence[str], reps: int, margin: Column | int, seed: int) -> DataFrame:
+    """(by, n, rep, shift): for each replicate a circular shift from the margin to n less the margin; groups: by and n, one row each.
+
+    Where that leaves no shift, any from 1 to n - 1.
+    """
+    m = (F.lit(margin) if isinstance(margin, int) else margin).cast("long")
+    low = F.when(F.col("n") > 2 * m, m).otherwise(F.lit(1).cast("long"))
+    drawn = groups.filter("n > 1").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("__low", low)
+    return drawn.withColumn("shift", F.col("__low") + hashed(F.lit(seed), F.col("rep"), *[F.col(c) for c in by], below=F.greatest(F.lit(1), F.col("n") - 2 * F.col("__low")))).drop("__low")
+
+
+def against_largest(real: DataFrame, null: DataFrame, family: Sequence[str], stat: str) -> DataFrame:
+    """real with the adjusted p of stat against the largest null over the candidates, replicate by replicate, and facts of that null.
+
+    real: a row for each candidate of a family; null: family, rep and stat, any number of candidates each.
+    """
+    keys = list(family)
+    tops = null.groupBy(*keys, "rep").agg(F.max(stat).alias("top")).filter("top IS NOT NULL").groupBy(*keys).agg(F.collect_list("top").alias("__tops"))
+    best = real.groupBy(*keys).agg(F.max(stat).alias("best"))
+    facts = tops.join(best, keys).select(*keys, "__tops", "best", F.size("__tops").alias("replicates"), F.aggregate("__tops", F.lit(0.0), lambda a, x: a + x).alias("__sum"))
+    facts = facts.withColumns({"null_mean": F.col("__sum") / F.col("replicates"), "null_95": quantile(F.col("__tops"), 0.95), "family_p": share_beyond(F.col("__tops"), F.col("best"))})
+    out = real.join(facts, keys, "left")
+    return out.withColumn("adjusted_p", share_beyond(F.col("__tops"), F.col(stat))).drop("__tops", "__sum")
+
+
+def model_shift_null(ledger: DataFrame, family: Sequence[str], candidate: str, actual: str, baseline: str, predicted: str, reps: int, seed: int, least: int = 10) -> DataFrame:
+    """Skill of each candidate's ledger against the best skill of circularly shifted predictions over all candidates.
+
+    ledger: family, candidate, i and n (numbered within the candidate), actual, baseline and
+    predicted. Every replicate shifts each candidate's predictions by its own draw, a tenth
+    of the rows at least; candidates under `least` rows stay out of the null.
+    """
+    keys = [*family, candidate]
+    skill = F.avg(F.abs(F.col(actual) - F.col(baseline)) - F.abs(F.col(actual) - F.col(predicted)))
+    real = ledger.groupBy(*keys).agg(F.count("*").alias("n"), skill.alias("skill"))
+    drawn = shifts(real.filter(F.col("n") >= least).select(*keys, "n"), keys, reps, F.greatest(F.lit(2), F.floor(F.col("n") / 10)), seed)
+    rows = ledger.select(*keys, "i", actual, baseline).join(drawn, keys).withColumn("__j", F.pmod(F.col("i") - F.col("shift"), F.col("n")))
+    moved = rows.join(ledger.select(*keys, F.col("i").alias("__j"), predicted), [*keys, "__j"])
+    null = moved.groupBy(*keys, "rep").agg(skill.alias("skill"))
+    return against_largest(real, null, family, "skill").withColumn("deflated", F.col("skill") - F.col("null_95"))
+
+
+def rule_shift_null(rows: DataFrame, family: Sequence[str], ret: str, rules: Sequence[str], effective: DataFrame, reps: int, seed: int, margin: int = 70) -> DataFrame:
+    """Standardised edge of each rule, mean signed return * sqrt(n_effective) / sd, against the largest under joint circular shifts.
+
+    rows: family, i, n, ret and one column of signs for each rule (0: no call); effective:
+    family, candidate and n_effective. A replicate moves the signs of all rules of a family by
+    one shift. The null's sd is that of the returns it calls; rules with under 5 calls or
+    under 3 effective rows have no statistic.
+    """
+    keys = list(family)
+    stack = f"stack({len(rules)}, {', '.join(f'{x!r}, {x}' for x in rules)}) as (candidate, __s)"
+    signs = rows.selectExpr(*keys, "i", "n", stack).filter("__s != 0")
+    told = rows.select(*keys, F.col("i").alias("__j"), F.col(ret).alias("__y")).filter("__y IS NOT NULL")
+    spread = rows.groupBy(*keys).agg(F.stddev_samp(ret).alias("__sd"))
+    real = signs.join(told.withColumnRenamed("__j", "i"), [*keys, "i"]).groupBy(*keys, "candidate").agg(F.count("*").alias("called"), F.avg(F.col("__s") * F.col("__y")).alias("mean"))
+    real = real.join(spread, keys).join(effective, [*keys, "candidate"])
+    edge = lambda sd: F.when(F.col("n_effective") >= 3, F.col("mean") * F.sqrt("n_effective") / F.nullif(F.col(sd), F.lit(0.0)))
+    real = real.withColumn("edge", edge("__sd")).drop("__sd")
+    low = F.least(F.lit(margin), F.greatest(F.lit(10), F.floor(F.col("n") / 5)))
+    drawn = shifts(rows.groupBy(*keys).agg(F.max("n").alias("n")), keys, reps, low, seed)
+    moved = signs.join(drawn.drop("n"), keys).withColumn("__j", F.pmod(F.col("i") + F.col("shift"), F.col("n"))).join(told, [*keys, "__j"])
+    null = moved.groupBy(*keys, "rep", "candidate").agg(F.count("*").alias("__k"), F.avg(F.col("__s") * F.col("__y")).alias("mean"), F.stddev_samp("__y").alias("__sd")).filter("__k >= 5")
+    null = null.join(effective, [*keys, "candidate"]).withColumn("edge", edge("__sd"))
+    return against_largest(real, null.filter("edge IS NOT NULL"), family, "edge")
+
+
+def greedy_shift_null(rows: DataFrame, family: Sequence[str], start: str, end: str, ret: str, signals: Sequence[str], reps: int, seed: int, margin: int = 91) -> DataFrame:
+    """t of the greedily chosen returns of each signal, against the largest t of signals moved round, chosen anew in every replicate.
+
+    rows: family, i, n, start, end, ret and a boolean column for each signal. Greedy
+    selections run side by side, one a family, replicate and signal; t wants 5 rows.
     """
-    means = block_means(rows, family, xs, reps, block, seed)
     keys = list(family)
-    stack = f"stack({len(xs)}, {', '.join(f'{x!r}, {x}' for x in xs)}) as (candidate, value)"
-    long = means.selectExpr(*keys, "rep", stack)
-    real = rows.groupBy(*keys).agg(*[F.avg(x).alias(x) for x in xs]).selectExpr(*keys, stack).withColumnRenamed("value", "mean")
-    se = long.groupBy(*keys, "candidate").agg(F.stddev_samp("value").alias("se"))
-    real = real.join(se, [*keys, "candidate"]).withColumn("t", F.col("mean") / F.nullif(F.col("se"), F.lit(0.0)))
-    centred = long.join(real, [*keys, "candidate"]).withColumn("z", (F.col("value") - F.col("mean")) / F.nullif(F.col("se"), F.lit(0.0)))
-    worst = centred.groupBy(*keys, "rep").agg(F.max("z").alias("top"))
-    cut = worst.groupBy(*keys).agg(F.percentile("top", 0.95).alias("null_95"))
-    beaten = real.join(worst, keys).groupBy(*keys, "candidate").agg(((1 + F.sum((F.col("top") >= F.col("t") - EQUAL).cast("int"))) / (reps + 1)).alias("adjusted_p"))
-    raw = centred.groupBy(*keys, "candidate").agg(((1 + F.sum((F.col("z") >= F.col("t") - EQUAL).cast("int"))) / (reps + 1)).alias("raw_p"))
-    return real.join(beaten, [*keys, "candidate"]).join(raw, [*keys, "candidate"]).join(cut, keys)
+    stack = f"stack({len(signals)}, {', '.join(f'{x!r}, {x}' for x in signals)}) as (candidate, __on)"
+    on = rows.selectExpr(*keys, "i", "n", stack).filter("__on")
+    drawn = shifts(rows.groupBy(*keys).agg(F.max("n").alias("n")), keys, reps, margin, seed).drop("n")
+    still = rows.select(*keys).distinct().select(*keys, F.lit(-1).alias("rep"), F.lit(0).cast("long").alias("shift"))
+    moved = on.join(drawn.unionByName(still), keys).withColumn("i", F.pmod(F.col("i") + F.col("shift"), F.col("n"))).drop("n")
+    called = moved.join(rows.select(*keys, "i", start, end, ret).filter(F.col(ret).isNotNull()), [*keys, "i"])
+    chosen = greedy(called, [*keys, "rep", "candidate"], start, end, [ret])
+    sd = F.stddev_samp(ret)
+    t = F.when((F.count(ret) >= 5) & (sd > 0), F.avg(ret) / (sd / F.sqrt(F.count(ret))))
+    found = chosen.groupBy(*keys, "rep", "candidate").agg(F.count(ret).alias("n_greedy"), F.avg(ret).alias("mean"), t.alias("t"))
+    return against_largest(found.filter("rep = -1").drop("rep"), found.filter("rep >= 0 AND t IS NOT NULL").select(*keys, "rep", "t"), family, "t")
 
 
 def holm(df: DataFrame, by: Sequence[str], p: str, name: str = "holm_p") -> DataFrame:

@@ -166,6 +166,14 @@ class Series:
         marked = df.withColumn("__on", holds(test)).withColumn("__run", F.sum(F.when(F.col("__on"), 0).otherwise(1)).over(self.so_far))
         return marked.filter("__on").groupBy(*self.by, "__run").agg(F.min(self.at).alias("first"), F.max(self.at).alias("last"), F.count("*").alias("rows")).drop("__run")
 
+    def running(self, x: str | Column) -> Column:
+        """Sum of x up to and with the row; missing values add nothing, and it is 0 before the first."""
+        return F.coalesce(F.sum(x).over(self.ordered.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+
+    def entries_of(self, on: Column) -> Column:
+        """Whether a condition starts to hold here: it holds, and did not at the row before."""
+        return holds(on) & ~holds(F.lag(on).over(self.ordered))
+
     def entries(self, on: str, segment: str | None = None) -> Column:
         """Whether a signal starts here: it is on, and was off before or in another segment."""
         was = self.lag(on)

@@ -109,7 +109,7 @@ def outcomes(spark, sf_dir):
 
 
 def scenario_kernel(spark, sf_dir):
-    """Parts as vessels: what a gamma kernel releases over the next days, by kernel and window, and recent totals."""
+    """Parts as vessels: what a gamma kernel releases over the next days, by kernel and window."""
     kind, share = vessel(F.col("p_type"))
     p = table(spark, sf_dir, "part").select(((F.col("p_partkey") * 7) % 400).alias("age"), (F.col("p_retailprice") * share).alias("t"), kind.alias("kind"))
     p = p.filter(F.col("age").between(0, 365))
@@ -118,6 +118,14 @@ def scenario_kernel(spark, sf_dir):
     return x.groupBy(F.col("g.theta").alias("theta"), F.col("g.window").alias("window")).agg(F.count("*").alias("vessels"), F.round(F.sum("freed"), 4).alias("release"))
 
 
+def recent_totals(spark, sf_dir):
+    """Parts as vessels: how many came in the last 30 to 365 days, and what they weigh and yield."""
+    _, share = vessel(F.col("p_type"))
+    p = table(spark, sf_dir, "part").select(((F.col("p_partkey") * 7) % 400).alias("age"), F.col("p_retailprice").alias("ldt"), (F.col("p_retailprice") * share).alias("t"))
+    each = F.explode(F.filter(F.array(*[F.lit(x).cast("long") for x in (30, 60, 90, 120, 180, 365)]), lambda x: F.col("age").between(0, x)))
+    return p.withColumn("lookback", each).groupBy("lookback").agg(F.count("*").alias("vessels"), F.round(F.sum("ldt"), 4).alias("ldt"), F.round(F.sum("t"), 4).alias("plate"))
+
+
 def class_losses(spark, sf_dir):
     t = targets(spark, sf_dir).filter("f IS NOT NULL")
     hot = [(F.col("direction") == k).cast("double") for k in (-1, 0, 1)]
@@ -217,6 +225,9 @@ e AS (SELECT *, count(*) OVER w AS k, CASE WHEN avg((sign > 0)::INT) OVER w >= 0
 SELECT series, count(*) AS n, round(avg((sign(f) = sign)::INT), 6) AS rule, round(avg((majority = sign)::INT), 6) AS majority FROM e WHERE k >= 12 GROUP BY series"""),
     "outcomes": (outcomes, f"""WITH {TARGETS}, t AS (SELECT *, CASE WHEN f > 0 THEN 1 ELSE -1 END AS call FROM targets) SELECT series, d, round(call * change, 6) + 0.0 AS signed_change, round(change - 900, 6) + 0.0 AS net_hold_change,
  sign(change - 900)::BIGINT AS economic_target, (sign(change - 900) = call)::BIGINT AS economic_hit, round(call * (change - 900), 6) + 0.0 AS signed_net_value FROM t"""),
+    "recent_totals": (recent_totals, """WITH p AS (SELECT (p_partkey * 7) % 400 AS age, p_retailprice AS ldt, p_retailprice * CASE WHEN upper(p_type) LIKE '%TANKER%' OR upper(p_type) LIKE '%LNG%' OR upper(p_type) LIKE '%LPG%' THEN 0.765 WHEN upper(p_type) LIKE '%BULK%' THEN 0.66 WHEN upper(p_type) LIKE '%CONTAINER%' THEN 0.65
+ WHEN upper(p_type) LIKE '%CARGO%' OR upper(p_type) LIKE '%RORO%' THEN 0.63 WHEN upper(p_type) SIMILAR TO '.*(PLATFORM|RIG|DRILL|BARGE).*' THEN 0.35 ELSE 0.60 END AS t FROM part), l AS (SELECT unnest([30, 60, 90, 120, 180, 365])::BIGINT AS lookback)
+SELECT lookback, count(*) AS vessels, round(sum(ldt), 4) AS ldt, round(sum(t), 4) AS plate FROM l JOIN p ON age BETWEEN 0 AND lookback GROUP BY lookback"""),
     "scenario_kernel": (scenario_kernel, """WITH p AS (SELECT (p_partkey * 7) % 400 AS age, p_retailprice * CASE WHEN upper(p_type) LIKE '%TANKER%' OR upper(p_type) LIKE '%LNG%' OR upper(p_type) LIKE '%LPG%' THEN 0.765 WHEN upper(p_type) LIKE '%BULK%' THEN 0.66 WHEN upper(p_type) LIKE '%CONTAINER%' THEN 0.65
  WHEN upper(p_type) LIKE '%CARGO%' OR upper(p_type) LIKE '%RORO%' THEN 0.63 WHEN upper(p_type) SIMILAR TO '.*(PLATFORM|RIG|DRILL|BARGE).*' THEN 0.35 ELSE 0.60 END AS t FROM part),
 g AS (SELECT theta, w FROM (SELECT unnest([30.0, 45.0])::DOUBLE AS theta) CROSS JOIN (SELECT unnest([30, 45, 60, 90])::BIGINT AS w)), x AS (SELECT theta, w, t, age / theta AS a, (age + w) / theta AS b FROM p CROSS JOIN g WHERE age BETWEEN 0 AND 365)

@@ -128,6 +128,14 @@ def row_means(spark, sf_dir):
     return df.select("series", "d", r6(row_mean(F.col("x"), F.col("y"))).alias("mean"))
 
 
+def running_basis(spark, sf_dir):
+    """Months as contracts: what the price moved at each change beyond its own day's change, and the running sum of that."""
+    df = daily(spark, sf_dir).withColumn("month", F.date_format("d", "yyyy-MM"))
+    basis = F.when(S.changed("month"), F.col("close") - (F.col("close") - F.col("open")) - S.lag("close"))
+    df = df.withColumn("basis", basis).withColumn("running", S.running("basis"))
+    return df.select("series", "d", F.round("basis", 4).alias("basis"), F.round("running", 4).alias("running"))
+
+
 def contract_returns(spark, sf_dir):
     """Priorities as contracts; the busiest of the month before is the nearby one."""
     d = daily(spark, sf_dir).withColumn("m", F.trunc("d", "MM"))
@@ -204,6 +212,8 @@ SELECT series, sum(on_::INT)::BIGINT AS on_rows, sum(entry::INT)::BIGINT AS entr
     "live_rows": (live_rows, f"WITH {DAILY} SELECT series, max(d) AS last, round(arg_max(price, d), 6) AS price, arg_max(n, d) AS n FROM daily GROUP BY series"),
     "top_moves": (top_moves, f"WITH {DAILY}, r AS (SELECT series, d, ln(price / lag(price) OVER ({W})) AS r FROM daily) SELECT series, d, round(r, 6) AS r FROM r WHERE r IS NOT NULL ORDER BY abs(r) DESC, series, d LIMIT 15"),
     "row_means": (row_means, f"WITH {HOLED}, y AS (SELECT *, CASE WHEN n > 1 THEN close END AS y FROM holed) SELECT series, d, round(CASE WHEN x IS NULL THEN y WHEN y IS NULL THEN x ELSE (x + y) / 2 END, 6) AS mean FROM y"),
+    "running_basis": (running_basis, f"""WITH {DAILY}, l AS (SELECT series, d, open, close, lag(close) OVER ({W}) AS before, strftime(d, '%Y-%m') AS m, lag(strftime(d, '%Y-%m')) OVER ({W}) AS m0 FROM daily), b AS (SELECT series, d, CASE WHEN m0 IS NOT NULL AND m <> m0 THEN close - (close - open) - before END AS basis FROM l)
+SELECT series, d, round(basis, 4) + 0.0 AS basis, round(coalesce(sum(basis) OVER ({W}), 0), 4) + 0.0 AS running FROM b"""),
     "contract_returns": (contract_returns, f"""WITH {DAILY}, v AS (SELECT date_trunc('month', d)::DATE AS m, series, sum(n) AS v FROM daily GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY v DESC, series) AS k FROM v), near AS (SELECT (m + INTERVAL 1 MONTH)::DATE AS m, series AS symbol FROM k WHERE k = 1),
 own AS (SELECT *, date_trunc('month', d)::DATE AS m, CASE WHEN date_diff('day', lag(d) OVER ({W}), d) <= 7 THEN ln(price / lag(price) OVER ({W})) END AS same FROM daily),
