@@ -22,7 +22,12 @@ from lacuna.operators.joins import matured
 
 @dataclass(frozen=True)
 class Settings:
-    """Of a walk-forward study."""
+    """Of a walk-forward study.
+
+    impute_first: missing values are filled before the winsor bounds are taken, else the bounds
+    come from the known values alone. purged: a fold is trained on what ended before it, else
+    on all rows before it. One split is two folds, such as (0.8, 1.0).
+    """
 
     features: tuple[str, ...]
     alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)
@@ -37,6 +42,8 @@ class Settings:
     shrink: float = 0.15
     labels_back: int = 120
     classes: tuple[int, ...] = field(default=(-1, 0, 1))
+    impute_first: bool = True
+    purged: bool = True
 
 
 def ridge_one(origins: DataFrame, train: DataFrame, by: Sequence[str], at: str, end: str, x: str, y: str, alpha: float, least: int) -> DataFrame:
@@ -64,7 +71,8 @@ def prepare(train: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
     """Medians, winsor bounds, means and deviations of the columns, from training rows alone."""
     middle = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in train.T])
     filled = np.where(np.isnan(train), middle, train)
-    lo, hi = np.quantile(filled, s.winsor, axis=0)
+    known = filled if s.impute_first else np.where(np.isnan(train).all(0), 0.0, train)
+    lo, hi = np.nanquantile(known, s.winsor, axis=0)
     filled = np.clip(filled, lo, hi)
     sd = filled.std(0, ddof=1) if len(filled) > 1 else np.ones(train.shape[1])
     return middle, lo, hi, filled.mean(0), np.where(sd > s.sd_floor, sd, 1.0)
@@ -89,7 +97,7 @@ def choose_alpha(x: np.ndarray, y: np.ndarray, start: np.ndarray, end: np.ndarra
         val = np.arange(int(n * lo), int(n * hi))
         if len(val) < s.least_fold:
             continue
-        inner = np.flatnonzero(end < start[val[0]])
+        inner = np.flatnonzero(end < start[val[0]]) if s.purged else np.arange(val[0])
         if len(inner) < s.least_inner:
             continue
         fit = prepare(x[inner], s)

@@ -24,6 +24,11 @@ def delimited(spark: SparkSession, path: str, names: Sequence[str] | None = None
     return spark.read.schema(strings(names)).option("header", True).option("enforceSchema", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
 
 
+def of_contract(rows: DataFrame, column: int, contract: str, value: int = 1) -> DataFrame:
+    """Rows of months whose cell in a column names the contract: period, month_end and value."""
+    return month_rows(rows.filter(F.upper(F.col("cells")[column]) == contract.upper()), value)
+
+
 def by_file(spark: SparkSession, path: str, names: Sequence[str], pattern: str) -> DataFrame:
     """Many CSVs as one table with source_file and symbol, the first group of pattern in the file name, upper case."""
     out = delimited(spark, path, names).withColumn("source_file", F.col("_metadata.file_name"))
@@ -37,16 +42,25 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
     return named.join(F.broadcast(last), F.col("snapshot") == F.col("__last")).drop("__last")  # one row
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of small text files with their place: source_file, i, line. A file is read whole, as its sections need order."""
+def numbered_lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
+    """Lines of small text files with their place: source_file, i, line. A file is read whole, as its sections need order.
+
+    quoted: line ends between quotes belong to their field.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("v"))
-    return whole.select("source_file", F.posexplode(F.split("v", "\r?\n")).alias("i", "line"))
+    ends = "\r?\n"
+    if quoted:  # what stands outside quotes is every other part
+        parts = F.transform(F.split("v", '"', -1), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, ends, "\x01")).otherwise(x))
+        whole, ends = whole.withColumn("v", F.concat_ws('"', parts)), "\x01"
+    return whole.select("source_file", F.posexplode(F.split("v", ends)).alias("i", "line"))
 
 
-def cells(lines: DataFrame, most: int = 12) -> DataFrame:
-    """Adds cells, the line's ragged fields, trimmed."""
+def cells(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """Adds cells, the line's ragged fields, trimmed; as many as the longest line may have, or `most` of them."""
+    if most is None:
+        most = lines.agg(F.max(F.size(F.split("line", ",", -1)))).first()[0] or 1
     schema = ", ".join(f"c{i} string" for i in range(most))
-    parsed = F.from_csv("line", schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    parsed = F.from_csv("line", schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"})
     return lines.withColumn("__p", parsed).withColumn("cells", F.array(*[F.trim(F.col(f"__p.c{i}")) for i in range(most)])).drop("__p")
 
 

@@ -245,3 +245,42 @@ def test_circular_p_takes_every_shift(spark):
     assert resample.shifted(rows, ["k"], "x", "y").count() == n - 1
     got = {a.k: a for a in resample.shift_p(rows, ["k"], "x", "y").collect()}
     assert got["a"].r == pytest.approx(r) and got["a"].p == pytest.approx(want) and got["b"].p == 1
+
+
+def test_block_lengths_rounded_up_with_another_least(spark):
+    row = spark.createDataFrame([(30, 7.0, 100), (5, 7.0, 100), (90, 7.0, 12)], "h int, s double, n long")
+    even, up = resample.block_length(F.col("h"), F.col("s"), F.col("n")), resample.block_length(F.col("h"), F.col("s"), F.col("n"), 2, True)
+    assert [tuple(r) for r in row.select(even, up).collect()] == [(4, 5), (3, 2), (4, 4)]
+
+
+def test_max_null_variants(spark):
+    """Own draws for each candidate give other replicates; an i.i.d. se is sd over the root of n."""
+    rows = resample.numbered(spark.createDataFrame([("a", i, math.sin(i) + 0.3, math.cos(3 * i)) for i in range(40)], "g string, t int, x double, y double"), ["g"], ["t"])
+    kinds = {(j, i): {r.candidate: r for r in resample.max_null(rows, ["g"], ["x", "y"], 60, 4, 3, joint=j, iid=i).collect()} for j in (True, False) for i in (True, False)}
+    x = np.array([math.sin(i) + 0.3 for i in range(40)])
+    assert kinds[True, True]["x"].se == pytest.approx(x.std(ddof=1) / math.sqrt(40)) and kinds[True, False]["x"].se != pytest.approx(kinds[True, True]["x"].se)
+    assert kinds[True, False]["x"].raw_p == kinds[False, False]["x"].raw_p and kinds[True, False]["y"].se != kinds[False, False]["y"].se
+    for each in kinds.values():
+        for r in each.values():
+            assert r.raw_p <= r.adjusted_p <= 1 and r.t == pytest.approx(r.mean / r.se)
+
+
+def test_settings_of_other_studies():
+    """Bounds from known values alone; one split without a purge."""
+    x = np.array([[0.0], [1.0], [2.0], [100.0], [np.nan], [np.nan], [np.nan], [np.nan]])
+    first, known = (models.prepare(x, models.Settings(features=("a",), winsor=(0.0, 0.75), impute_first=i)) for i in (True, False))
+    assert first[2][0] == 1.625 and known[2][0] == 26.5
+    rng = np.random.default_rng(0)
+    x, t = rng.normal(size=(200, 1)), np.arange(200)
+    y = x[:, 0] * 2 + rng.normal(size=200) * 0.1
+    purged = models.Settings(features=("a",), folds=(0.8, 1.0), alphas=(0.1, 1000.0))
+    plain = models.Settings(features=("a",), folds=(0.8, 1.0), alphas=(0.1, 1000.0), purged=False)
+    late = t + 150  # targets end so late that nothing is left to train on once purged
+    assert models.choose_alpha(x, y, t, late, plain) == 0.1 and models.choose_alpha(x, y, t, late, purged) == 1000.0
+
+
+def test_asof_ties_have_an_order(spark):
+    left = spark.createDataFrame([("a", 5)], "k string, t long")
+    right = spark.createDataFrame([("a", 4, x) for x in (1.0, 9.0, 3.0)], "k string, rt long, v double")
+    for rows in (right, right.orderBy(F.desc("v"))):
+        assert joins.asof(left, rows, ["k"], "t", "rt", ["v"]).first().v == joins.asof(left, rows, ["k"], "t", "rt", ["v"], bucket=F.col("__t")).first().v == 9.0

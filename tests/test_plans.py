@@ -26,8 +26,11 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in PLANS.items() if not sql])
 def test_runs(spark, name):
+    """Executed whole, twice: rows of the same values. What they are is tested by brute force below and beside the operators."""
     run, _ = PLANS[name]
-    assert run(spark, SF).columns
+    first = run(spark, SF)
+    assert first.count() > 0 or name == "stress_grid"  # too few quotes here for a past z; see below
+    assert sorted(map(str, first.collect())) == sorted(map(str, run(spark, SF).collect()))
 
 
 def test_text_queries_over_whole_tables(spark, tmp_path):
@@ -57,3 +60,94 @@ def test_text_queries_over_whole_tables(spark, tmp_path):
         assert (got.month, got.year, got.serial) == ((month, year, year * 12 + month - 1) if month else (None, None, None))
     props = sorted(tuple(r) for r in PLANS["event_props_all"][0](spark, str(tmp_path)).collect())
     assert props == sorted(x for i in range(20) for x in ((490 + i, "k", str(i)), (490 + i, "z", "y")))
+
+
+def test_walk_forward_equals_brute_force(spark):
+    """Predictions of one series from normal equations solved here, origin by origin, with the penalty that the ledger names."""
+    import numpy as np
+
+    from lacuna.plans import modelling
+
+    rows = modelling._features(spark, SF).filter("series = '1-URGENT'").toPandas().sort_values("d").reset_index(drop=True)
+    ledger = {r.d: r for r in modelling.walk_forward(spark, SF).filter("series = '1-URGENT'").collect()}
+    x, y = rows[["f1", "f2", "f3"]].to_numpy(float), rows["ret"].to_numpy(float)
+    seen = 0
+    for i in np.flatnonzero(rows["origin"].to_numpy(bool)):
+        train = [j for j in range(len(rows)) if not np.isnan(y[j]) and rows["end"][j] < rows["d"][i]]
+        if len(train) < 80:
+            assert rows["d"][i] not in ledger
+            continue
+        got, seen = ledger[rows["d"][i]], seen + 1
+        middle = np.nanmedian(x[train], axis=0)
+        filled = np.where(np.isnan(x[train]), middle, x[train])
+        lo, hi = np.quantile(filled, [0.01, 0.99], axis=0)
+        filled = np.clip(filled, lo, hi)
+        mean, sd = filled.mean(0), filled.std(0, ddof=1)
+        a = np.c_[np.ones(len(train)), (filled - mean) / sd]
+        beta = np.linalg.solve(a.T @ a + got.alpha * np.diag([0, 1, 1, 1]), a.T @ y[train])
+        mine = (np.clip(np.where(np.isnan(x[i]), middle, x[i]), lo, hi) - mean) / sd
+        assert got.train_n == len(train) and abs(got.predicted - (beta[0] + mine @ beta[1:])) < 1e-9
+        assert abs(sum(got.probabilities) - 1) < 1e-9 and min(got.probabilities) >= 0 and got.half_band > 0
+    assert seen > 10
+
+
+def test_stress_grid_equals_brute_force(spark):
+    """One candidate on larger tables: called, greedy, phase, half and third rows walked here."""
+    SF = "/root/testdata/sf0.01"
+    import numpy as np
+
+    from lacuna.plans import modelling
+
+    grid = {(r.series, r.horizon, r["look"], r["at"]): r for r in modelling.stress_grid(spark, SF).collect()}
+    assert len({k[1:] for k in grid}) <= 63 and len({k[1] for k in grid}) == 7
+    from lacuna.operators.joins import forward_targets
+    from lacuna.plans.base import S, daily
+
+    d = S.segments(daily(spark, SF).select("series", "d", "price"), 6)
+    z = d.withColumn("z", S.within("segment").z("price", 20, 15))
+    t = forward_targets(z, S, "price", [30]).toPandas().sort_values(["series", "d"])
+    path = z.toPandas().sort_values(["series", "d"])
+
+    def greedy(rows):
+        out, last = [], None
+        for r in rows:
+            if last is None or r.d >= last:
+                out.append(r)
+                last = r.end
+        return out
+
+    for series, mine in t.groupby("series"):
+        on = [r for r in mine.itertuples() if r.z <= -0.75]
+        got = grid.get((series, 30, 20, 0.75))
+        if not on:
+            assert got is None
+            continue
+        assert got.called_n == len(on) and abs(got.called_mean - np.mean([r.ret for r in on])) < 1e-9
+        chosen = greedy(on)
+        assert got.greedy_n == len(chosen) and abs(got.greedy_mean - np.mean([r.ret for r in chosen])) < 1e-9
+        states = path[path["series"] == series]
+        entered = {r.d for r, before in zip(list(states.itertuples())[1:], states.itertuples(), strict=False) if r.z <= -0.75 and (not before.z <= -0.75 or before.segment != r.segment)}
+        entered |= {r.d for r in list(states.itertuples())[:1] if r.z <= -0.75}
+        assert (got.episode_n or 0) == sum(r.d in entered for r in on)
+        chains = {tuple(r.d for r in greedy([x for x in on if x.d >= first.d])) for first in on if first.d < on[0].end}
+        assert got.phase_count == len(chains) and got.phase_n_min == min(map(len, chains))
+        lo, hi = mine["d"].min(), mine["d"].max()
+        for name, parts in (("half", 2), ("third", 3)):
+            for k in range(parts):
+                part = greedy([r for r in on if min(int((r.d - lo).days * parts / ((hi - lo).days + 1)), parts - 1) == k])
+                assert got[f"{name}{k + 1}_n"] == len(part)
+
+
+def test_gated_calls_follow_their_facts(spark):
+    for r in PLANS["gated_calls"][0](spark, SF).collect():
+        assert (r.call == "NO CALL") == bool(r.reasons) and ("too few past results" in r.reasons) == (r.past_n < 20)
+
+
+def test_decisions_follow_computed_evidence(spark):
+    got = PLANS["live_decisions"][0](spark, SF).collect()
+    assert got
+    for r in got:
+        why = r.reasons
+        assert (r.decision == "NO CALL") == bool(why)
+        for text, fails in (("too few results without overlap", r.nonoverlap_n < 20), ("interval of the skill holds 0", not (r.ci_low or 0) > 0), ("a third of the past without skill", not (r.worst_third or 0) > 0), ("no better than the best of chance", not (r.adjusted_p is not None and r.adjusted_p <= 0.05)), ("inputs are stale", r.age is None or r.age > 4)):
+            assert (text in why) == fails
