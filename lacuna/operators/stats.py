@@ -18,7 +18,7 @@ def bundle(x: str, quantiles: Sequence[float] = QUANTILES) -> list[Column]:
     names = [f"p{round(q * 100):02d}" for q in quantiles]
     return [
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"),
-        *[F.percentile(x, q).alias(n) for q, n in zip(quantiles, names, strict=True)], F.max(x).alias("max"),
+        *[F.percentile(x, list(quantiles))[i].alias(n) for i, n in enumerate(names)], F.max(x).alias("max"),  # one aggregate, made once
     ]
 
 
