@@ -83,6 +83,14 @@ def pieces(df: DataFrame, text: str, size: int, least: int) -> int:
     return max(least, -(-found // size))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a table as it is read, in as many partitions at least as tasks run at once: small tables lie in few splits."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # dealt already
+        return df
+    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name like the given one that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import spread
+
 DIMENSIONS, SEED, UNKNOWN = 1024, 20260101, "und"
 #: Trigram vectors that a worker keeps; texts bundled by one matrix product.
 KEPT, TOGETHER = 40_000, 48
@@ -170,6 +172,6 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") -
 def identified(docs: DataFrame, *columns: str) -> DataFrame:
     """docs (or doc_id and the columns named) with held_out, lang_pred and score, learnt from all that is not held out."""
     rest = F.coalesce(remainder(F.col("doc_id")), F.lit(-1))
-    model = learn(docs.filter(F.coalesce(remainder(F.col("doc_id")) != 2, F.lit(False))))
+    model = learn(spread(docs.select("doc_id", "text", "lang")).filter(F.coalesce(remainder(F.col("doc_id")) != 2, F.lit(False))))
     kept = docs.select("doc_id", "text", *columns)
-    return predict(kept, model).withColumn("held_out", rest == 2)
+    return predict(spread(kept), model).withColumn("held_out", rest == 2)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import staged
+from lacuna.llm.common import spread, staged
 
 #: Bytes of wrappers that are broadcast at most.
 BROADCAST_BYTES, SALTS = 8_000_000, 64
@@ -698,7 +698,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    pages = spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
     joined = _by_host(pages, staged(wrappers(pages), "wrappers", 4), "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
