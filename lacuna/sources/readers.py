@@ -175,7 +175,3 @@ def document(spark: SparkSession, path: str) -> DataFrame:
     """A JSON document as one row."""
     return spark.read.option("multiLine", True).json(path)
 
-
-def spreadsheet(path: str):
-    """Sheets have no Spark reader: convert them to CSV or Parquet first."""
-    raise NotImplementedError(f"convert {path} to CSV or Parquet and read that")

@@ -1,12 +1,13 @@
 """Scans over small files of the shapes that the studies read."""
 
 import datetime as dt
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from lacuna.functions import casts
-from lacuna.sources import readers
+from lacuna.sources import readers, workbooks
 
 
 def write(folder, **files):
@@ -99,3 +100,48 @@ def test_columns_by_fragments_of_their_names(spark):
     assert readers.column_like(df, "price", "INR") == "Price INR per mt"
     with pytest.raises(ValueError):
         readers.column_like(df, "volume")
+
+
+NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+@pytest.fixture()
+def book(spark, tmp_path):
+    parts = {
+        "xl/workbook.xml": f'<workbook {NS}><sheets><sheet name="Prices" sheetId="1" r:id="rId1"/><sheet name="Empty" sheetId="2" r:id="rId2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {NS}><si><t>Date</t></si><si><r><t>Pri</t></r><r><t>ce</t></r><rPh><t>x</t></rPh></si></sst>",
+        "xl/worksheets/sheet1.xml": f"""<worksheet {NS}><sheetData>
+<row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" t="s"><v>1</v></c><c r="D2" t="inlineStr"><is><t>Note</t></is></c></row>
+<row r="3"><c r="A3"><v>46000</v></c><c r="B3"><f>A3*2</f><v>92000</v></c><c r="AB3" t="b"><v>1</v></c></row>
+<row r="5"><c r="B5" t="e"><f>1/0</f><v>#DIV/0!</v></c><c r="D5"/></row></sheetData></worksheet>""",
+        "xl/worksheets/sheet2.xml": f"<worksheet {NS}><sheetData/></worksheet>",
+    }
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return workbooks.workbook(spark, str(tmp_path / "book.xlsx"))
+
+
+def test_workbook_rows_ranges_and_formulas(book):
+    rows = {r.i: r for r in book.collect()}
+    assert sorted(rows) == [2, 3, 5] and rows[2].cells == ["Date", "Price", None, "Note"] and rows[3].cells[27] == "TRUE" and rows[5].cells[1] == "#DIV/0!"
+    ranged = workbooks.sheet_range(book, "PRICES", "A2:D5")
+    assert ranged.columns == ["source_file", "i", "A", "B", "C", "D"]
+    table = workbooks.with_header(ranged)
+    assert table.columns == ["Date", "Price", "C", "Note"] and {r.Price for r in table.collect()} == {"92000", "#DIV/0!"}
+    dated = table.select(casts.excel_date(casts.number(F.col("Date"))).alias("d")).filter("d IS NOT NULL").collect()
+    assert [r.d for r in dated] == [dt.date(1899, 12, 30) + dt.timedelta(46000)]
+    assert {(r.cell, r.formula, r.value) for r in workbooks.formulas(book).collect()} == {("B3", "A3*2", "92000"), ("B5", "1/0", "#DIV/0!")}
+    assert [(r.sheet, r.rows, r["columns"], r.filled, r.formulas) for r in workbooks.sheets(book).collect()] == [("Prices", 5, 28, 7, 2)]
+    assert workbooks.sheet_named(book, "empty").count() == 0
+
+
+def test_column_letters():
+    for i, name in ((0, "A"), (25, "Z"), (26, "AA"), (701, "ZZ"), (702, "AAA")):
+        assert workbooks.letters_of(i) == name and workbooks.column_of(name) == i
+
+
+def test_letters_of_wide_formulas(spark):
+    rows = spark.createDataFrame([("f", "s", 0, 7, [None] * 703, [None] * 26 + ["x"] + [None] * 674 + ["y", "z"])], workbooks.ROWS)
+    assert {r.cell for r in workbooks.formulas(rows).collect()} == {"AA7", "ZZ7", "AAA7"}
