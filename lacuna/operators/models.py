@@ -119,6 +119,7 @@ def walk_forward(rows: DataFrame, by: Sequence[str], at: str, origins: str, s: S
     rows: by, at, end, ret, direction and the features. Each origin is fitted on the rows
     whose end is strictly before it; the penalty is chosen once a month. Magnitude and class
     heads share the penalty; class scores are put on the simplex with Laplace frequencies.
+    The origins of each year are a task of their own, which gets the rows up to that year.
     """
     features = list(s.features)
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*by, at)) + ", " + LEDGER
@@ -130,7 +131,7 @@ def walk_forward(rows: DataFrame, by: Sequence[str], at: str, origins: str, s: S
         label, ok = g["direction"].to_numpy(float), ~np.isnan(y)
         monthly: dict = {}
         out = []
-        for i in np.flatnonzero(g[origins].to_numpy(bool)):
+        for i in np.flatnonzero(g[origins].to_numpy(bool) & (pd.to_datetime(g[at]).dt.year == g["__year"]).to_numpy()):
             train = np.flatnonzero(ok & (end < start[i]))
             if len(train) < s.least_train:
                 continue
@@ -150,7 +151,10 @@ def walk_forward(rows: DataFrame, by: Sequence[str], at: str, origins: str, s: S
             out.append([*g.loc[i, [*by, at, "end"]], y[i] if ok[i] else None, g.loc[i, "direction"], float((b @ beta)[0]), recent, half, alpha, len(train), (raw / raw.sum()).tolist()])
         return pd.DataFrame(out, columns=[*by, at, "end", "actual", "direction", "predicted", "baseline", "half_band", "alpha", "train_n", "probabilities"])
 
-    return rows.select(*by, at, "end", "ret", "direction", origins, *features).groupBy(*by).applyInPandas(run, schema)
+    last = F.max(F.when(F.col(origins), F.year(at))).over(Window.partitionBy(*by))
+    some = rows.select(*by, at, "end", "ret", "direction", origins, *features).withColumn("__last", last).filter(F.year(at) <= F.col("__last"))
+    dealt = some.withColumn("__year", F.explode(F.sequence(F.year(at), F.col("__last")))).drop("__last")
+    return dealt.groupBy(*by, "__year").applyInPandas(run, schema)
 
 
 def live_rows(panel: DataFrame, targets: DataFrame, by: Sequence[str], at: str) -> DataFrame:
