@@ -66,7 +66,7 @@ NOISE = re.compile(
     re.I,
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Node:
@@ -76,7 +76,14 @@ class Node:
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes and attributes.strip() else {}
+        self.main, self.noise, self.named = tag in ("article", "main"), tag in SKIPPED, False
+        self.mark = tag + "*" * self.main
+        if attributes and not attributes.isspace():
+            self.describe(attributes)
+
+    def describe(self, attributes: str) -> None:
+        tag = self.tag
+        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         names = found.get("class", "").split()
         role = found.get("role", "").lower()
         self.main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"

@@ -395,6 +395,7 @@ STORY = "<h1>On %d</h1><p>What is said on page %d is said on no other page of th
         ("<div class='share-price'>The share stood at 12</div>", "The share stood at 12"),
         ("<p>Opening hours are nine to five.</p>", "Opening hours are nine to five."),
         ("<div class='notice-board'><p>Pinned up</p></div>", "Pinned up"),
+        ("<div style='overflow: hidden' data-id=ad aria-hidden=false data-class='comments'><p>Shown</p></div><div hidden><p>not</p></div>", "Shown"),
         ("<div class='ad'>buy</div><div id='comments'><p>I disagree</p></div><form><p>Name</p></form><aside>x</aside>", ""),
     ],
 )
