@@ -18,6 +18,15 @@ def test_matches_sql(spark, duck, name):
     assert sorted(tuple(r[i] for i in at) for r in mine.collect()) == sorted(other.fetchall())
 
 
+def test_join_begins_with_the_columns_of_its_sql(spark, duck):
+    """By position, not by name: other columns follow those of the contract."""
+    mine = queries.op5_partenum(spark, SF)
+    other = duck.execute(queries.ORACLE_SQL["op5_partenum"])
+    names = [c[0] for c in other.description]
+    assert mine.columns == [*names, "n_links"]
+    assert sorted(tuple(r)[: len(names)] for r in mine.collect()) == sorted(other.fetchall())
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, []
